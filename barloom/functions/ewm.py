@@ -31,70 +31,69 @@ def ewm(df: DataFrame, specs: dict, gaps: bool = False, keys=("symbol",), order=
     by_row = Window.partitionBy(*keys).orderBy(order)
     so_far = by_row.rowsBetween(Window.unboundedPreceding, 0)
     before = by_row.rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn("_rn", F.row_number().over(by_row) - 1)
+    out = df.withColumn("__rn", F.row_number().over(by_row) - 1)
     staged = {}
     for name, (x, _) in specs.items():
-        staged[f"_x_{name}"] = col(x).cast("double")
-        staged[f"_n_{name}"] = F.count(col(x)).over(so_far)
+        staged[f"__x_{name}"] = col(x).cast("double")
+        staged[f"__n_{name}"] = F.count(col(x)).over(so_far)
         if gaps:
-            staged[f"_prev_{name}"] = F.max(F.when(col(x).isNotNull(), F.col("_rn"))).over(before)
-    staged["_block"] = F.floor(F.col("_rn") / block)
-    staged["_j"] = (F.col("_rn") % block).cast("double")
+            staged[f"__prev_{name}"] = F.max(F.when(col(x).isNotNull(), F.col("__rn"))).over(before)
+    staged["__block"] = F.floor(F.col("__rn") / block)
+    staged["__j"] = (F.col("__rn") % block).cast("double")
     out = out.withColumns(staged)
 
     # Same sort serves both: blocks grow with time.
     in_block = (
-        Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     )
     earlier = (
         Window.partitionBy(*keys)
-        .orderBy("_block", order)
+        .orderBy("__block", order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     decay = {}
     for name, (_, a) in specs.items():
-        x, n = F.col(f"_x_{name}"), F.col(f"_n_{name}")
+        x, n = F.col(f"__x_{name}"), F.col(f"__n_{name}")
         first = n == 1
         if not gaps:
             weight = F.when(first, 1.0).otherwise(F.lit(float(a)))
-            scale = F.pow(F.lit(1.0 - a), F.col("_j"))
-            decay[f"_s_{name}"] = scale
-            decay[f"_w_{name}"] = F.when(x.isNotNull(), weight * x / scale).otherwise(0.0)
+            scale = F.pow(F.lit(1.0 - a), F.col("__j"))
+            decay[f"__s_{name}"] = scale
+            decay[f"__w_{name}"] = F.when(x.isNotNull(), weight * x / scale).otherwise(0.0)
         else:
-            kept = F.pow(F.lit(1.0 - a), F.col("_rn") - F.col(f"_prev_{name}"))
-            live = x.isNotNull() & F.col(f"_prev_{name}").isNotNull()
+            kept = F.pow(F.lit(1.0 - a), F.col("__rn") - F.col(f"__prev_{name}"))
+            live = x.isNotNull() & F.col(f"__prev_{name}").isNotNull()
             keep = F.when(live, kept / (kept + F.lit(float(a)))).otherwise(1.0)
             gain = F.when(live, 1.0 - keep).when(x.isNotNull(), 1.0).otherwise(0.0)
-            decay[f"_k_{name}"] = F.log(keep)
-            decay[f"_w_{name}"] = gain * F.coalesce(x, F.lit(0.0))
+            decay[f"__k_{name}"] = F.log(keep)
+            decay[f"__w_{name}"] = gain * F.coalesce(x, F.lit(0.0))
     out = out.withColumns(decay)
     if gaps:
         out = out.withColumns(
-            {f"_s_{n}": F.exp(F.sum(f"_k_{n}").over(in_block)) for n in specs}
-        ).withColumns({f"_w_{n}": F.col(f"_w_{n}") / F.col(f"_s_{n}") for n in specs})
-    local = {f"_l_{n}": F.sum(f"_w_{n}").over(in_block) for n in specs}
+            {f"__s_{n}": F.exp(F.sum(f"__k_{n}").over(in_block)) for n in specs}
+        ).withColumns({f"__w_{n}": F.col(f"__w_{n}") / F.col(f"__s_{n}") for n in specs})
+    local = {f"__l_{n}": F.sum(f"__w_{n}").over(in_block) for n in specs}
     out = out.withColumns(local)
 
-    last_of_block = F.col("_j") == float(block - 1)
+    last_of_block = F.col("__j") == float(block - 1)
     carried = {}
     for name, (_, a) in specs.items():
         ended = F.struct(
-            (F.col(f"_s_{name}") * (1.0 if gaps else 1.0 - a)).alias("d"),
-            (F.col(f"_s_{name}") * F.col(f"_l_{name}")).alias("e"),
+            (F.col(f"__s_{name}") * (1.0 if gaps else 1.0 - a)).alias("d"),
+            (F.col(f"__s_{name}") * F.col(f"__l_{name}")).alias("e"),
         )
         ends = F.collect_list(F.when(last_of_block, ended)).over(earlier)
-        carried[f"_c_{name}"] = F.aggregate(
+        carried[f"__c_{name}"] = F.aggregate(
             ends, F.lit(0.0), lambda acc, v: acc * v["d"] + v["e"]
         )
     out = out.withColumns(carried)
     final = {}
     for name, (_, a) in specs.items():
         step = 1.0 if gaps else 1.0 - a
-        y = F.col(f"_s_{name}") * (F.col(f"_c_{name}") * step + F.col(f"_l_{name}"))
-        final[name] = F.when(F.col(f"_n_{name}") > 0, y)
+        y = F.col(f"__s_{name}") * (F.col(f"__c_{name}") * step + F.col(f"__l_{name}"))
+        final[name] = F.when(F.col(f"__n_{name}") > 0, y)
     out = out.withColumns(final)
-    made = [c for c in out.columns if c in final or not c.startswith("_")]
-    return out.select(*made)
+    return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
 def span(n: int) -> float:

@@ -23,6 +23,10 @@ class Entry:
     sql: str | None
 
 
+# Engines break rounding ties differently; a hair above one lifts exact ties the same way.
+TIE = 1.000000000001
+SQL_TIE = "CAST(1.000000000001 AS DOUBLE)"
+
 CATALOG: dict[str, Entry] = {}
 SQL_VIEWS: dict[str, str] = {}
 
@@ -52,7 +56,7 @@ def _spark_field(name: str, kind: str):
     elif kind:
         c = c.cast("double")
         finite = F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
-        c = F.round(finite, int(kind)) + F.lit(0.0)
+        c = F.round(finite * TIE, int(kind)) + F.lit(0.0)
     else:
         c = c.cast("string")
     return c.alias(name)
@@ -72,7 +76,7 @@ def _sql_field(name: str, kind: str) -> str:
         c = f"array_to_string({c}, '|')"
     elif kind:
         d = f"CAST({c} AS DOUBLE)"
-        c = f"round(CASE WHEN isfinite({d}) THEN {d} END, {kind}) + CAST(0 AS DOUBLE)"
+        c = f"round(CASE WHEN isfinite({d}) THEN {d} END * {SQL_TIE}, {kind}) + CAST(0 AS DOUBLE)"
     else:
         c = f"CAST({c} AS VARCHAR)"
     return f'{c} AS "{name}"'
@@ -88,7 +92,7 @@ def _needed(text: str) -> list[str]:
 
     def visit(body: str) -> None:
         for name, inner in SQL_VIEWS.items():
-            if name not in found and re.search(rf"\b{name}\b", body):
+            if name not in found and re.search(rf"\b(from|join)\s+{name}\b", body, re.I):
                 visit(inner)
                 found.append(name)
 

@@ -84,7 +84,8 @@ def ticks(spark, sf):
 @query(
     "bar_records",
     "symbol, date, open:4, close:4, volume:i",
-    "SELECT symbol, date, round(open, 4) AS open, round(close, 4) AS close, floor(volume) AS volume FROM bars",
+    """SELECT symbol, date, CAST(CAST(open AS VARCHAR) AS DECIMAL(30, 4)) AS open,
+  CAST(CAST(close AS VARCHAR) AS DECIMAL(30, 4)) AS close, floor(volume) AS volume FROM bars""",
 )
 def _(spark, sf):
     return src.to_records(v.bars(spark, sf))

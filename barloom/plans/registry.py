@@ -20,7 +20,12 @@ from pyspark.sql import functions as F
 class Entry:
     name: str
     run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
+    body: str | None
+    spec: str
+
+    @property
+    def sql(self) -> str | None:
+        return oracle(self.body, self.spec) if self.body else None
 
 
 # Engines break rounding ties differently; a hair above one lifts exact ties the same way.
@@ -116,7 +121,7 @@ def query(name: str, spec: str, sql: str | None = None):
 
         if name in CATALOG:
             raise ValueError(f"query {name} registered twice")
-        CATALOG[name] = Entry(name, run, oracle(sql, spec) if sql else None)
+        CATALOG[name] = Entry(name, run, sql, spec)
         return fn
 
     return keep

@@ -86,15 +86,15 @@ def _average_price(rows: DataFrame) -> DataFrame:
 
 
 def market(spark, sf) -> DataFrame:
-    """Volume-weighted price over all symbols, every day but the fifths of a month."""
-    rows = trades(spark, sf).where(F.dayofmonth("date") % 5 != 0)
+    """Volume-weighted price over all symbols; a few days a year have none."""
+    rows = trades(spark, sf).where(~F.dayofyear("date").isin(44, 45, 47))
     return _average_price(rows)
 
 
 sql_view(
     "market",
     """SELECT date, sum(price * qty) / sum(qty) AS close FROM trades
-WHERE day(date) % 5 <> 0 GROUP BY date""",
+WHERE dayofyear(date) NOT IN (44, 45, 47) GROUP BY date""",
 )
 
 
@@ -121,7 +121,7 @@ def series(spark, sf) -> DataFrame:
     urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
     return (
         orders.withColumn("series_id", F.when(urgent, "demand").otherwise("supply"))
-        .where(~((F.col("series_id") == "supply") & (F.dayofmonth("date") % 7 == 0)))
+        .where(~((F.col("series_id") == "supply") & (F.dayofyear("date") % 90 == 0)))
         .groupBy("series_id", "date")
         .agg((F.sum((F.col("o_totalprice") * 100).cast("bigint")) / 100000.0).alias("close"))
     )
@@ -132,7 +132,7 @@ sql_view(
     """SELECT series_id, date, sum(CAST(trunc(o_totalprice * 100) AS BIGINT)) / 100000.0::DOUBLE AS close FROM (
   SELECT *, CAST(o_orderdate AS DATE) AS date,
     CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'demand' ELSE 'supply' END AS series_id
-  FROM orders) WHERE NOT (series_id = 'supply' AND day(date) % 7 = 0)
+  FROM orders) WHERE NOT (series_id = 'supply' AND dayofyear(date) % 90 = 0)
 GROUP BY series_id, date""",
 )
 

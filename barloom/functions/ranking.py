@@ -69,7 +69,10 @@ def with_ranks(
         cuts = counted.groupBy(*keys).agg(
             F.percentile_approx(value, points, 2000).alias("_cuts")
         )
-        joined = counted.join(cuts, keys) if keys else counted.crossJoin(cuts)
+        if keys:
+            joined = counted.join(cuts, keys)
+        else:
+            joined = counted.withColumn("_cuts", cuts.scalar())
         tagged = joined.withColumn(
             "_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
         ).drop("_cuts")

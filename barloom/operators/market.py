@@ -166,18 +166,22 @@ def risk_regime(market: DataFrame, vix: DataFrame) -> DataFrame:
 def breadth(panel: DataFrame, n: int = 20) -> DataFrame:
     """Share of all symbols above the mean of their last ``n`` calendar rows.
 
-    Rows run over the panel's whole calendar, so a symbol without a price that day still
-    uses up a row of its window and counts in the denominator. The grid has one row per
-    symbol and day.
+    Windows run over day numbers of the panel's whole calendar, so a missing day uses up
+    its place without a row being made for it; a symbol without a price that day is not
+    above but counts in the denominator.
     """
-    days = panel.select("date").distinct()
-    names = panel.select("symbol").distinct()
-    grid = names.join(days).join(panel.select("symbol", "date", "close"), ["symbol", "date"], "left")
-    mean = F.avg("close").over(w.trailing(n))
+    days = panel.select("date").distinct().withColumn("_one", F.lit(1))
+    number = F.row_number().over(w.ordered(("_one",)))
+    days = days.select("date", number.alias("_day"))
+    everyone = panel.agg(F.count_distinct("symbol").alias("n")).scalar()
+    frame = w.Window.partitionBy("symbol").orderBy("_day").rangeBetween(-(n - 1), 0)
+    above = F.col("close") > F.avg("close").over(frame)
     return (
-        grid.withColumn("_above", w.is_true(F.col("close") > mean).cast("double"))
+        panel.join(days, "date")
+        .withColumn("_above", above)
         .groupBy("date")
-        .agg(F.avg("_above").alias("regime_breadth"))
+        .agg(F.count_if("_above").alias("_above"))
+        .select("date", (F.col("_above") / everyone).alias("regime_breadth"))
     )
 
 

@@ -180,6 +180,7 @@ def preds(spark, sf) -> DataFrame:
         ((F.col("o_totalprice") - 250000) / 1000000).alias("ret"),
         (F.col("o_orderkey") % 4).alias("fold"),
         (F.col("o_custkey") % 2).alias("seed"),
+        ((F.col("o_orderkey") * 104729 + F.col("o_custkey") * 17) % 991 / 990.0).alias("q"),
     )
 
 
@@ -188,7 +189,8 @@ sql_view(
     f"""SELECT o_orderkey AS id, o_orderpriority AS model, {_SQL_FLAG.format('o_custkey')} AS symbol,
   CAST(o_orderdate AS DATE) AS date, (o_orderkey * 7919 + o_custkey * 31) % 997 / 996.0::DOUBLE AS p,
   CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y, (o_totalprice - 250000) / 1000000 AS ret,
-  o_orderkey % 4 AS fold, o_custkey % 2 AS seed FROM orders""",
+  o_orderkey % 4 AS fold, o_custkey % 2 AS seed,
+  (o_orderkey * 104729 + o_custkey * 17) % 991 / 990.0::DOUBLE AS q FROM orders""",
 )
 
 

@@ -64,6 +64,13 @@ def with_ranks(
     counted = (
         df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
     )
+    return ranks_of_counts(counted, keys, value, bucket, splits)
+
+
+def ranks_of_counts(
+    counted: DataFrame, keys: list[str], value: str, bucket: Column | None = None, splits: int = 256
+) -> DataFrame:
+    """As ``with_ranks`` for values already counted in ``cnt``."""
     if bucket is None:
         points = F.array(*[F.lit(i / splits) for i in range(1, splits)])
         cuts = counted.groupBy(*keys).agg(

@@ -239,7 +239,9 @@ def screen(intents: DataFrame, cards: DataFrame) -> DataFrame:
     """
     fields = ["max_price", "min_price", "action", "bullish_days", "top"]
     wanted = intents.select(*fields).distinct()
-    wanted = wanted.withColumns({"_id": F.xxhash64(*fields), "_act": F.coalesce("action", F.lit("any"))})
+    # Spelled out because hashes skip NULLs and would confuse a lower with an upper bound.
+    ident = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in fields])
+    wanted = wanted.withColumns({"_id": ident, "_act": F.coalesce("action", F.lit("any"))})
     s = F.col("signal")
     acts = F.array_compact(
         F.array(
@@ -269,7 +271,7 @@ def screen(intents: DataFrame, cards: DataFrame) -> DataFrame:
         .where(F.col("rank") <= F.col("top"))
         .select("_id", "symbol", "signal", "confidence", "current_price", "rank")
     )
-    return intents.withColumn("_id", F.xxhash64(*fields)).join(best, "_id").drop("_id")
+    return intents.withColumn("_id", ident).join(best, "_id").drop("_id")
 
 
 def top_movers(cards: DataFrame, limit: int = 10) -> DataFrame:

@@ -295,7 +295,7 @@ sql_view(
     "q_intents",
     f"""SELECT id, text, coalesce(mx, CASE WHEN mx IS NULL AND mn IS NULL AND NOT regexp_matches(text, {_lit(intents.NOT_A_PRICE)}) AND length(text) < 200 THEN round({_qnum(intents.BARE)}, 2) END,
   CASE WHEN regexp_matches(text, {_lit(intents.PENNY)}) THEN 100.0::DOUBLE END) AS max_price, mn AS min_price, CASE {_ACT} END AS action,
-  least(TRY_CAST(regexp_extract(text, {_lit(intents.DAYS)}, 1) AS INTEGER), 60) AS bullish_days, coalesce(least(greatest(CAST(trunc({_qnum(intents.TOP)}) AS INTEGER), 1), 50), 10) AS top
+  CASE WHEN regexp_extract(text, {_lit(intents.DAYS)}, 1) <> '' THEN least(TRY_CAST(regexp_extract(text, {_lit(intents.DAYS)}, 1) AS INTEGER), 60) END AS bullish_days, CASE WHEN {_qnum(intents.TOP)} IS NULL THEN 10 ELSE least(greatest(CAST(trunc({_qnum(intents.TOP)}) AS INTEGER), 1), 50) END AS top
 FROM (SELECT *, round(coalesce({', '.join(_qnum(p) for p in intents.MAX_PRICE)}), 2) AS mx, round(coalesce({', '.join(_qnum(p) for p in intents.MIN_PRICE)}), 2) AS mn FROM q_msgs)""",
 )
 
@@ -330,7 +330,7 @@ FROM orders JOIN part a ON a.p_partkey = o_orderkey % (SELECT count(*) FROM part
 @query(
     "symbol_mentions",
     "id:i, symbols",
-    """SELECT id, string_agg(symbol, ',' ORDER BY kind, seq, phrase, symbol) AS symbols FROM (SELECT id, symbol, min(struct_pack(k := kind, s := seq, p := phrase)) AS at, at.k AS kind, at.s AS seq, at.p AS phrase FROM (
+    """SELECT id, string_agg(symbol, ',' ORDER BY place.k, place.s, place.p, symbol) AS symbols FROM (SELECT id, symbol, min(struct_pack(k := kind, s := seq, p := phrase)) AS place FROM (
   SELECT id, b.symbol, 0 AS kind, t.pos AS seq, '' AS phrase FROM (SELECT id, unnest(l) AS tok, generate_subscripts(l, 1) AS pos FROM (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+(?:\\.[a-z]+)?') AS l FROM q_chat)) t
     JOIN q_brands b ON b.symbol = upper(split_part(tok, '.', 1))
   UNION ALL SELECT id, n.symbol, 1, -length(phrase), phrase FROM q_chat JOIN q_names n ON regexp_matches(lower(text), '\\b' || phrase || '\\b')) GROUP BY id, symbol) GROUP BY id""",

@@ -71,7 +71,7 @@ def fit_isotonic(rows: DataFrame, keys: list[str], p: str = "p", y: str = "y", s
     spark = rows.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     seen = rows.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(
-        *keys, F.col(p).cast("double").alias("_p"), F.col(seq).alias("_q"), F.col(y).cast("double").alias("_y")
+        *keys, F.col(p).cast("double").alias("_p"), F.col(seq).cast("bigint").alias("_q"), F.col(y).cast("double").alias("_y")
     )
     order = [*keys, "_p", "_q"]
     ranged = seen.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -91,7 +91,7 @@ def fit_isotonic(rows: DataFrame, keys: list[str], p: str = "p", y: str = "y", s
         if pool is not None:
             yield _named(pool.frame(), keys, key, at)
 
-    blocks = ranged.mapInPandas(local, f"{head}wx double, first double, w double, s double, at_p double, at_q string, i int")
+    blocks = ranged.mapInPandas(local, f"{head}wx double, first double, w double, s double, at_p double, at_q bigint, i int")
 
     def merge(pdf):
         pdf = pdf.sort_values(["at_p", "at_q", "i"], kind="mergesort")
@@ -108,8 +108,7 @@ def fit_isotonic(rows: DataFrame, keys: list[str], p: str = "p", y: str = "y", s
 
 
 def _named(frame, keys, key, at):
-    frame["at_p"], frame["at_q"] = float(at[0]), f"{at[1]:0>20}" if not isinstance(at[1], float) else repr(at[1])
-    frame["i"] = range(len(frame))
+    frame["at_p"], frame["at_q"], frame["i"] = float(at[0]), int(at[1]), range(len(frame))
     for name, value in zip(keys, key):
         frame[name] = value
     return frame[[*keys, "wx", "first", "w", "s", "at_p", "at_q", "i"]]

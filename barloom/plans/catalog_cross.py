@@ -312,3 +312,9 @@ FROM (SELECT *, 0.5::DOUBLE * (1 + erf(d1 / sqrt(2::DOUBLE))) AS phi1, 0.5::DOUB
   (ln(spot / atm.k) + (0.06::DOUBLE + atm.v * atm.v / 2) * 30 / 365.0::DOUBLE) / (atm.v * sqrt(30 / 365.0::DOUBLE)) AS d1 FROM q_chain))""" if False else None)
 def _(spark, sf):
     return events.chain_metrics(v.chains(spark, sf), spots(spark, sf), days_to_expiry=30)
+
+
+def sectors_of(spark, sf):
+    from .catalog_market import sectors
+
+    return sectors(spark, sf)

@@ -115,6 +115,17 @@ def max_drawdown(x, n: int, **spec) -> Column:
     return F.when(F.size(kept) == n, F.aggregate(kept, start, step, lambda acc: acc["depth"]))
 
 
+def correlation(x, y, frame=None) -> Column:
+    """Pearson correlation of pairs, NULL for a constant side (``corr`` would fail the
+    job there under ANSI rules)."""
+    a, b = col(x).cast("double"), col(y).cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    parts = [F.covar_pop(a, b), F.stddev_pop(a), F.stddev_pop(b)]
+    c, sa, sb = parts if frame is None else [p.over(frame) for p in parts]
+    return F.try_divide(c, sa * sb)
+
+
 def annual(x: Column, on: bool = True) -> Column:
     return x * F.sqrt(F.lit(float(TRADING_DAYS))) if on else x
 

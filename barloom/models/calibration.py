@@ -49,9 +49,9 @@ class _Pool:
             if right > left:
                 return
             pooled = right < left
-            self.w[-2] += self.w.pop()
-            self.s[-2] += self.s.pop()
-            self.wx[-2] += self.wx.pop()
+            for part in (self.w, self.s, self.wx):
+                last = part.pop()
+                part[-1] += last
             self.first.pop()
             if pooled:
                 self.first[-1] = self.wx[-1] / self.w[-1]

@@ -134,11 +134,16 @@ def fit_logistic(
     return weights
 
 
-def score(test: DataFrame, weights: DataFrame, keys: list[str], features: list[str], kind: str = "logistic") -> DataFrame:
-    """Add ``prob`` to the rows: sigmoid of the linear score, or the score clipped."""
-    out = test.join(weights.select(*keys, "weights"), keys)
+def score(
+    test: DataFrame, weights: DataFrame, keys: list[str], features: list[str], kind: str = "logistic", tags: tuple[str, ...] = ()
+) -> DataFrame:
+    """Add ``prob`` to the rows: sigmoid of the linear score, the score clipped to [0, 1],
+    or the plain score. ``tags`` are further columns of the weights, one output row each."""
+    out = test.join(weights.select(*keys, *tags, "weights"), keys)
     lin = linear(features)
-    p = sigmoid(lin) if kind == "logistic" else F.greatest(F.lit(0.0), F.least(F.lit(1.0), lin))
+    p = sigmoid(lin) if kind == "logistic" else lin
+    if kind == "ridge":
+        p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), lin))
     return out.withColumn("prob", p).drop("weights")
 
 
@@ -221,7 +226,7 @@ def ablation(
     )
     stats = stats.withColumn("_v", F.explode(options)).select("*", "_v.*").drop("_v")
     weights = materialize(solve(stats, ["fold", "variant"], l2, keep="terms"), "ablation-weights")
-    return score(rows.where("role = 'test'"), weights, ["fold"], features, "ridge")
+    return score(rows.where("role = 'test'"), weights, ["fold"], features, "ridge", ("variant",))
 
 
 def penalty_sweep(panel: DataFrame, folds: DataFrame, features: list[str], label: str, grid: list[float]) -> DataFrame:
@@ -237,4 +242,4 @@ def penalty_sweep(panel: DataFrame, folds: DataFrame, features: list[str], label
         one = solve(stats, ["fold"], l2).withColumn("penalty", F.lit(float(l2)))
         out = one if out is None else out.unionByName(one)
     weights = materialize(out, "sweep-weights")
-    return score(rows.where("role = 'test'"), weights, ["fold"], features, "ridge")
+    return score(rows.where("role = 'test'"), weights, ["fold"], features, "ridge", ("penalty",))

@@ -98,7 +98,7 @@ def label_agreement(df: DataFrame, labels=LABELS) -> DataFrame:
                 F.count_if(both).alias("n"),
                 F.count_if(both & (F.col(a) == F.col(b))).alias("equal"),
                 F.when(
-                    (F.count_if(both) >= 2) & (F.min(x) != F.max(x)) & (F.min(y) != F.max(y)), F.corr(x, y)
+                    (F.count_if(both) >= 2) & (F.min(x) != F.max(x)) & (F.min(y) != F.max(y)), w.correlation(x, y)
                 ).alias("corr"),
             ).alias(f"p{i}")
         ]

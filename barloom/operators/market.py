@@ -63,7 +63,7 @@ def relative_block(df: DataFrame, bench: str, label: str, horizons=REL_HORIZONS)
     made[f"rel_rs_ratio_{label}_20d"] = F.when(pair, rs)
     corr = F.when(
         F.count(F.when(F.col("_rs").isNotNull() & F.col("_rm").isNotNull(), 1)).over(w.trailing(60, **k)) == 60,
-        F.corr("_rs", "_rm").over(w.trailing(60, **k)),
+        w.correlation("_rs", "_rm", w.trailing(60, **k)),
     )
     made[f"rel_corr_{label}_60d"] = F.when(pair, corr)
     vol = w.ratio(w.roll_std("_rs", 20, **k), w.roll_std("_rm", 20, **k))

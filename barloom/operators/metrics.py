@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking
 from ..functions.tables import one_row
+from ..functions.windows import correlation
 
 EDGES = [i * 0.1 for i in range(1, 10)]
 
@@ -353,7 +354,7 @@ def residual_risk(df: DataFrame, keys: list[str], y: str, pred: str) -> DataFram
         F.when(~few, F.sqrt(F.avg(F.col("_e") * F.col("_e")))).alias("rmse"),
         F.when(~few, F.avg(F.abs("_e"))).alias("mae"),
         F.when(~few, -F.avg("_e")).alias("bias"),
-        F.when(~few, F.corr(y, pred)).alias("corr"),
+        F.when(~few, correlation(y, pred)).alias("corr"),
     )
     mid = ranking.median(rows, keys, "_e", "_mid")
     off = rows.join(mid, keys).withColumn("_off", F.abs(F.col("_e") - F.col("_mid")))
@@ -382,7 +383,7 @@ def entropy_interaction(df: DataFrame, p: str = "p", error: str = "error") -> Da
     )
     flat = (F.stddev_pop("h") < 1e-10) | (F.stddev_pop("e") < 1e-10)
     n = F.count(F.lit(1))
-    corr = F.when(n < 30, None).when(flat, 0.0).otherwise(F.corr("h", "e"))
+    corr = F.when(n < 30, None).when(flat, 0.0).otherwise(correlation("h", "e"))
     out = rows.agg(n.alias("n"), corr.alias("corr"), flat.alias("_flat"))
     size = F.abs("corr")
     label = (

@@ -240,9 +240,8 @@ def _(spark, sf):
 @query("return_risk_verdict", "best:6, null_rmse:6, good:4, cv:4, interpretation, verdict")
 def _(spark, sf):
     p, f = ready(spark, sf)
-    rows = grouped.out_of_fold(p, f, rs.FEATURES, "ret", [], "ridge")
+    rows = grouped.out_of_fold(p, f, rs.FEATURES, "ret", [], "plain")
     mean = p.agg(F.avg("ret")).scalar()
-    # The ridge score of a return target is the forecast itself; clip it symmetrically.
     rows = materialize(rows.where("ret IS NOT NULL").withColumn("pred", F.col("prob")).withColumn("null_pred", mean), "verdict")
     rmse = lambda c: F.sqrt(F.avg(F.pow(F.col("ret") - F.col(c), 2))).alias("rmse")
     err = rows.select(F.greatest(F.lit(0.01), F.least(F.lit(0.99), 0.5 + F.col("pred"))).alias("p"), (F.col("ret") - F.col("pred")).alias("error"))

@@ -123,7 +123,10 @@ sql_view(
 
 
 def forecasts(spark, sf):
-    o = v.table(spark, sf, "orders")
+    return forecast_rows(v.table(spark, sf, "orders"))
+
+
+def forecast_rows(o):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     filled = F.col("o_orderstatus") == "F"
     return o.select(

@@ -16,16 +16,20 @@ MIN_GROUP = 3  # fixed value
 
 
 def midrank(value: str, groups: list[str], min_size: int = MIN_GROUP) -> Column:
-    """Average-tie percentile in the group; NULL for thin groups and NULL values."""
+    """Average-tie percentile in the group; NULL for thin groups and NULL values.
+
+    The average rank is the mean of the rank and of the rows up to the value, both on the
+    same sort.
+    """
     x = F.col(value)
     known = Window.partitionBy(*groups, x.isNotNull())
-    rank = F.rank().over(known.orderBy(x))
-    ties = F.count(x).over(Window.partitionBy(*groups, value))
-    size = F.count(x).over(Window.partitionBy(*groups))
+    by_value = known.orderBy(x)
+    upto = F.count(x).over(by_value.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    size = F.count(x).over(known)
     ok = x.isNotNull() & (size >= min_size)
     for g in groups:
         ok = ok & F.col(g).isNotNull()
-    return F.when(ok, (rank + (ties - 1) / 2.0) / size)
+    return F.when(ok, (F.rank().over(by_value) + upto) / 2.0 / size)
 
 
 def peer_rank(value: str, groups: list[str], min_size: int = MIN_GROUP) -> Column:
@@ -176,17 +180,25 @@ def relative_features(
             {f"{n}_{h}d": F.lit(None).cast("double") for n in RELATIVE[:2] for h in horizons}
         )
     group = peer or "sector"
+    # From here on everything groups by date and something finer: one exchange serves all.
+    # The sort by (date, group, value, symbol) of the peer median also serves the sector
+    # windows that follow it.
+    out = out.repartition("date")
     for h in horizons:
         x = f"_ret{h}"
-        mean = group_mean(x, ["date", "sector"], min_size)
-        out = out.withColumn("_mean", mean).withColumns(
+        out = loo_median_divergence(out, x, ["date", group], f"peer_median_divergence_{h}d", min_size)
+        out = out.withColumns(
+            {
+                f"sector_return_rank_{h}d": midrank(x, ["date", "sector"], min_size),
+                f"peer_return_rank_{h}d": peer_rank(x, ["date", group], min_size),
+                "_mean": group_mean(x, ["date", "sector"], min_size),
+            }
+        )
+        out = out.withColumns(
             {
                 f"sector_return_{h}d": F.when(on, F.col("_mean")),
                 f"sector_excess_return_{h}d": F.when(on, F.col(x) - F.col("_mean")),
                 f"cross_sectional_return_rank_{h}d": midrank(x, ["date"], min_size),
-                f"sector_return_rank_{h}d": midrank(x, ["date", "sector"], min_size),
-                f"peer_return_rank_{h}d": peer_rank(x, ["date", group], min_size),
             }
         )
-        out = loo_median_divergence(out, x, ["date", group], f"peer_median_divergence_{h}d", min_size)
     return out.drop("_mean", *[f"_ret{h}" for h in horizons])

@@ -271,7 +271,11 @@ sql_view(
 
 
 def spots(spark, sf):
-    return v.weekly(spark, sf).groupBy("symbol", F.trunc("date", "month").alias("as_of")).agg(F.max_by("close", "date").alias("spot"))
+    return spots_of(v.weekly(spark, sf))
+
+
+def spots_of(week):
+    return week.groupBy("symbol", F.trunc("date", "month").alias("as_of")).agg(F.max_by("close", "date").alias("spot"))
 
 
 sql_view(
@@ -313,8 +317,3 @@ FROM (SELECT *, 0.5::DOUBLE * (1 + erf(d1 / sqrt(2::DOUBLE))) AS phi1, 0.5::DOUB
 def _(spark, sf):
     return events.chain_metrics(v.chains(spark, sf), spots(spark, sf), days_to_expiry=30)
 
-
-def sectors_of(spark, sf):
-    from .catalog_market import sectors
-
-    return sectors(spark, sf)

@@ -98,8 +98,12 @@ WHERE day(date) % 6 <> 0 GROUP BY sector, date""",
 
 
 def sectors(spark, sf):
+    return sector_closes(v.weekly(spark, sf))
+
+
+def sector_closes(week):
     return (
-        v.weekly(spark, sf)
+        week
         .where(F.dayofmonth("date") % 6 != 0)
         .groupBy("sector", "date")
         .agg((F.sum(F.col("close") * F.col("volume")) / F.sum("volume")).alias("close"))

@@ -10,7 +10,8 @@ from ..operators import events, labels, ledger, market, metrics, policy, quality
 from ..session import materialize
 from . import research as rs
 from . import views as v
-from .catalog_cross import arrivals, sectors_of, spots
+from .catalog_cross import arrivals, spots_of
+from .catalog_market import sector_closes
 from .registry import query, sql_view
 
 # ---- splits --------------------------------------------------------------------------
@@ -128,8 +129,9 @@ def _(spark, sf):
 @query("oof_pooled_models", "symbol, date:d, fold:i, model, seed:i, prob:6, y:0")
 def _(spark, sf):
     p, f = ready(spark, sf)
-    out = pooled.out_of_fold(p, f, rs.FEATURES, "up", ("logistic", "rf"), (0,), (2, 3), None, "symbol")
-    return as_oof(out)
+    out = pooled.out_of_fold(p, f, rs.FEATURES, "up", ("logistic",), (0,), (2, 3), None, "symbol")
+    forest = pooled.out_of_fold(p, f, rs.FEATURES, "up", ("rf",), (0,), (3,), {"numTrees": 20, "maxDepth": 5})
+    return as_oof(out.unionByName(forest))
 
 
 @query("boosted_trees_fold", "symbol, date:d, prob:6, y:0")
@@ -156,7 +158,7 @@ def _(spark, sf):
 def _(spark, sf):
     p, f = ready(spark, sf)
     rows = splits.assign(p, f).where("fold >= 2 AND role = 'train'")
-    models = [pooled.fit(rows.where(F.col("fold") == k), rs.FEATURES, "up", "rf", k, {"numTrees": 10})[0] for k in (2, 3)]
+    models = [pooled.fit(rows.where(F.col("fold") == k), rs.FEATURES, "up", "rf", k, {"numTrees": 10, "maxDepth": 5})[0] for k in (2, 3)]
     return pooled.tree_gains(models, rs.FEATURES, spark)
 
 
@@ -323,14 +325,14 @@ def _(spark, sf):
 
 
 def full_frame(spark, sf):
-    week = v.weekly(spark, sf)
-    chain = events.chain_metrics(v.chains(spark, sf), spots(spark, sf), 30).withColumn(
+    week = materialize(v.weekly(spark, sf), "weekly")
+    chain = events.chain_metrics(v.chains(spark, sf), spots_of(week), 30).withColumn(
         "available_at", F.add_months("as_of", 1)
     )
     snaps = v.snaps(spark, sf).withColumn("symbol", F.concat(F.lit("Brand#"), (F.col("seq") % 25).cast("string")))
     return rs.feature_frame(
         week, v.market(spark, sf), v.volx(spark, sf), market.breadth(week),
-        arrivals(spark, sf), (v.series(spark, sf), ["demand", "supply"]), (snaps, "seq"), chain, sectors_of(spark, sf),
+        arrivals(spark, sf), (v.series(spark, sf), ["demand", "supply"]), (snaps, "seq"), chain, sector_closes(week),
     )
 
 

@@ -39,17 +39,21 @@ def feature_frame(
 ) -> DataFrame:
     """All feature groups in their order; a source that is not given adds no column.
 
-    Every per-symbol group is a window on the same partitioning, so after the first
-    exchange by symbol only the joins move data.
+    Every per-symbol group is a window on the same partitioning. The frame is written to
+    the shared folder between groups: plans stay short, bars and series are computed
+    once, and a lost executor repeats one group instead of all.
     """
+    bars = materialize(bars, "frame-bars")
+    if market_series is not None:
+        market_series = materialize(market_series, "frame-market")
     out = technical.technical_features(bars)
-    out = market.risk_block(out)
+    out = materialize(market.risk_block(out), "frame-technical")
     if market_series is not None:
         out = joins.attach_series(out, market_series, "_mkt")
         out = market.relative_block(out, "_mkt", "nifty").drop("_mkt")
         out = market.beta_block(out, market_series)
     out = market.regime_features(out, market_series, vix, breadth)
-    out = market.alpha_factors(out)
+    out = materialize(market.alpha_factors(out), "frame-market-relative")
     if articles is not None:
         out = events.event_features(out, articles)
         out = events.sentiment_features(out, articles)

@@ -33,31 +33,33 @@ def apply_platt(rows: DataFrame, params: DataFrame, keys: list[str], p: str = "p
 
 
 class _Pool:
-    """Adjacent-violator pooling over ``(x, first_x, weight, sum)`` blocks.
+    """Adjacent-violator pooling over blocks of ``(base, off, first, w, s)``.
 
-    Neighbours of equal level are kept as one run that remembers where it starts: once
-    one of them is pooled with a violator, the comparison pools all of them.
+    A block's mean probability is ``base + off / w``, exact when all its probabilities
+    are equal. Neighbours of equal level are kept as one run that remembers where it
+    starts: once one of them is pooled with a violator, the comparison pools all of them.
     """
 
+    FIELDS = ("base", "off", "first", "w", "s")
+
     def __init__(self):
-        self.wx, self.first, self.w, self.s = [], [], [], []
-
-    def add(self, wx, first, w, s):
-        self.wx.append(wx), self.first.append(first), self.w.append(w), self.s.append(s)
-        while len(self.w) > 1:
-            left, right = self.s[-2] * self.w[-1], self.s[-1] * self.w[-2]
-            if right > left:
-                return
-            pooled = right < left
-            for part in (self.w, self.s, self.wx):
-                last = part.pop()
-                part[-1] += last
-            self.first.pop()
-            if pooled:
-                self.first[-1] = self.wx[-1] / self.w[-1]
+        self.blocks = []
+
+    def add(self, base, off, first, w, s):
+        kept = self.blocks
+        while kept:
+            base0, off0, first0, w0, s0 = kept[-1]
+            mine, before = s * w0, s0 * w
+            if mine > before:
+                break
+            kept.pop()
+            base, off = base0, off0 + off + w * (base - base0)
+            w, s = w0 + w, s0 + s
+            first = first0 if mine == before else base + off / w
+        kept.append((base, off, first, w, s))
 
     def frame(self):
-        return pd.DataFrame({"wx": self.wx, "first": self.first, "w": self.w, "s": self.s})
+        return pd.DataFrame(self.blocks, columns=self.FIELDS)
 
 
 def fit_isotonic(rows: DataFrame, keys: list[str], p: str = "p", y: str = "y", seq: str = "seq", parts: int | None = None) -> DataFrame:
@@ -87,17 +89,17 @@ def fit_isotonic(rows: DataFrame, keys: list[str], p: str = "p", y: str = "y", s
                     if pool is not None:
                         yield _named(pool.frame(), keys, key, at)
                     key, pool, at = k, _Pool(), (x, q)
-                pool.add(x, x, 1.0, t)
+                pool.add(x, 0.0, x, 1.0, t)
         if pool is not None:
             yield _named(pool.frame(), keys, key, at)
 
-    blocks = ranged.mapInPandas(local, f"{head}wx double, first double, w double, s double, at_p double, at_q bigint, i int")
+    blocks = ranged.mapInPandas(local, f"{head}base double, off double, first double, w double, s double, at_p double, at_q bigint, i int")
 
     def merge(pdf):
         pdf = pdf.sort_values(["at_p", "at_q", "i"], kind="mergesort")
         pool = _Pool()
         for r in pdf.itertuples(index=False):
-            pool.add(r.wx, r.first, r.w, r.s)
+            pool.add(r.base, r.off, r.first, r.w, r.s)
         out = pool.frame()
         out["from_p"], out["value"] = out["first"], (out["s"] / out["w"]).clip(0.0, 1.0)
         for c in keys:
@@ -111,7 +113,7 @@ def _named(frame, keys, key, at):
     frame["at_p"], frame["at_q"], frame["i"] = float(at[0]), int(at[1]), range(len(frame))
     for name, value in zip(keys, key):
         frame[name] = value
-    return frame[[*keys, "wx", "first", "w", "s", "at_p", "at_q", "i"]]
+    return frame[[*keys, *_Pool.FIELDS, "at_p", "at_q", "i"]]
 
 
 def apply_isotonic(rows: DataFrame, steps: DataFrame, keys: list[str], p: str = "p") -> DataFrame:

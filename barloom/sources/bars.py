@@ -52,9 +52,10 @@ def bars_from_trades(
     """OHLCV per key and time bucket ``at``; ``order`` decides first and last trade.
 
     A plain aggregation: every task folds its trades to one row per bar before the
-    shuffle, so a symbol with a third of all trades still ships only its bars.
+    shuffle, so a symbol with a third of all trades still ships only its bars. A single
+    order column keeps it a hash aggregation; tie-breakers make each task sort its input.
     """
-    seq = F.struct(*[F.col(c) for c in order])
+    seq = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     return (
         trades.groupBy(*keys, at)
         .agg(

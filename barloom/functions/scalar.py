@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .windows import col
@@ -65,46 +65,70 @@ def finite(x, digits: int | None = None) -> Column:
     return kept if digits is None else F.round(kept, digits)
 
 
+# Coefficients of Hart's double-precision rational approximation, highest
+# power first (numerator, denominator).
+HART_TOP = [
+    3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383,
+    112.079291497871, 221.213596169931, 220.206867912376,
+]
+HART_BOTTOM = [
+    8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461,
+    296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752,
+]
+
+
+def _polynomial(x: Column, coefficients: list[float]) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
 def normal_cdf(x) -> Column:
-    """Standard normal distribution, absolute error below 7.5e-8 (26.2.17 of the
-    Abramowitz and Stegun handbook); Spark has no ``erf``."""
+    """Standard normal distribution to about 14 digits; Spark has no ``erf``."""
     c = col(x)
-    t = 1.0 / (1.0 + 0.2316419 * F.abs(c))
-    # Published polynomial coefficients.
-    poly = t * (
-        0.319381530
-        + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))
-    )
-    tail = normal_pdf(c) * poly
-    return F.when(c >= 0, 1.0 - tail).otherwise(tail)
+    a = F.abs(c)
+    near = _polynomial(a, HART_TOP) / _polynomial(a, HART_BOTTOM)
+    far = a + 0.65
+    for k in (4.0, 3.0, 2.0, 1.0):
+        far = a + k / far
+    tail = F.exp(-a * a / 2) * F.when(a < 7.07106781186547, near).otherwise(1.0 / far / 2.506628274631)
+    return F.when(c > 0, 1.0 - tail).otherwise(tail)
 
 
 def normal_pdf(x) -> Column:
     return F.exp(-0.5 * col(x) * col(x)) / math.sqrt(2.0 * math.pi)
 
 
-def call_greeks(spot, strike, years, sigma, rate: float = 0.06, dividend: float = 0.0) -> dict[str, Column]:
-    """Greeks of a European call; NULL unless volatility and time are positive."""
-    s, k, t, v = col(spot), col(strike), col(years), col(sigma)
-    root = F.sqrt(t)
-    d1 = (F.log(s / k) + (rate - dividend + v * v / 2.0) * t) / (v * root)
-    d2 = d1 - v * root
+def call_greeks(
+    df: DataFrame, spot: str, strike: str, years, sigma: str, rate: float = 0.06, dividend: float = 0.0
+) -> DataFrame:
+    """Add delta, gamma, theta (per day), vega and rho of a European call; NULL unless
+    prices, volatility and time are positive.
+
+    Intermediate values are columns of their own, so that no long expression is repeated
+    inside another.
+    """
+    s, k, v = F.col(spot), F.col(strike), F.col(sigma)
+    out = df.withColumn("_t", col(years).cast("double") if not isinstance(years, float) else F.lit(years))
+    t = F.col("_t")
+    ok = (v > 0) & (t > 0) & (s > 0) & (k > 0)
+    d1 = (F.log(s / k) + (rate - dividend + v * v / 2.0) * t) / (v * F.sqrt(t))
+    out = out.withColumn("_d1", F.when(ok, d1)).withColumn("_d2", F.col("_d1") - v * F.sqrt(t))
+    out = out.withColumns({"_n1": normal_cdf("_d1"), "_n2": normal_cdf("_d2"), "_pdf": normal_pdf("_d1")})
     carry, disc = F.exp(-dividend * t), F.exp(-rate * t)
-    pdf = normal_pdf(d1)
+    theta = (
+        -carry * F.col("_pdf") * v / (2.0 * F.sqrt(t)) - rate * k * disc * F.col("_n2") + dividend * s * carry * F.col("_n1")
+    ) / 365.0
     raw = {
-        "delta": carry * normal_cdf(d1),
-        "gamma": carry * pdf / (F.greatest(F.lit(1e-12), s) * v * root),
-        "theta": (
-            -carry * pdf * v / (2.0 * root)
-            - rate * k * disc * normal_cdf(d2)
-            + dividend * s * carry * normal_cdf(d1)
-        )
-        / 365.0,
-        "vega": s * carry * pdf * root,
-        "rho": k * t * disc * normal_cdf(d2),
+        "delta": carry * F.col("_n1"),
+        "gamma": carry * F.col("_pdf") / (F.greatest(F.lit(1e-12), s) * v * F.sqrt(t)),
+        "theta": theta,
+        "vega": s * carry * F.col("_pdf") * F.sqrt(t),
+        "rho": k * t * disc * F.col("_n2"),
     }
-    ok = (v > 0) & (t > 0) & (s > 0) & (k > 0)
-    return {name: F.when(ok, value) for name, value in raw.items()}
+    known = F.col("_d1").isNotNull()
+    return out.withColumns({n: F.when(known, c) for n, c in raw.items()}).drop("_t", "_d1", "_d2", "_n1", "_n2", "_pdf")
 
 
 def independent_windows(n, horizon: int) -> Column:

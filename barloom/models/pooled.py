@@ -101,11 +101,12 @@ def out_of_fold(
     return out
 
 
-def positions(df: DataFrame, name: str, seed: int, buckets: int = 64) -> DataFrame:
+def positions(df: DataFrame, name: str, seed: int, buckets: int | None = None) -> DataFrame:
     """Number rows in a random but repeatable order, bucket by bucket.
 
     The order is a hash; offsets come from bucket counts, so no task sorts all rows.
     """
+    buckets = buckets or 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     h = F.xxhash64(F.lit(seed), *df.columns)
     out = df.withColumns({"_h": h, "_hb": F.pmod(h, F.lit(buckets))})
     sizes = out.groupBy("_hb").agg(F.count(F.lit(1)).alias("_c")).withColumn("_one", F.lit(1))

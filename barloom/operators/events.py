@@ -138,5 +138,4 @@ def chain_metrics(chains: DataFrame, spots: DataFrame, days_to_expiry: int | Non
     )
     if days_to_expiry is None:
         return out
-    years = F.lit(max(days_to_expiry, 1) / 365.0)
-    return out.withColumns(call_greeks("spot", "atm_strike", years, "atm_iv"))
+    return call_greeks(out, "spot", "atm_strike", max(days_to_expiry, 1) / 365.0, "atm_iv")

@@ -268,6 +268,7 @@ def screen(intents: DataFrame, cards: DataFrame) -> DataFrame:
     order = Window.partitionBy("_id").orderBy(signal_rank(), F.desc("confidence"), "symbol")
     best = (
         hits.withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= 50)
         .where(F.col("rank") <= F.col("top"))
         .select("_id", "symbol", "signal", "confidence", "current_price", "rank")
     )
@@ -320,7 +321,9 @@ def baskets(cards: DataFrame) -> DataFrame:
     )
     flat = cards.select("*", F.explode(slots).alias("_s")).select("*", "_s.*").drop("_s")
     by = Window.partitionBy("basket").orderBy(F.desc("score"), "symbol")
-    return flat.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= F.col("size"))
+    # The literal bound lets every task drop the rest before the shuffle.
+    ranked = flat.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= 12)
+    return ranked.where(F.col("rank") <= F.col("size"))
 
 
 def basket_summary(members: DataFrame) -> DataFrame:

@@ -307,13 +307,20 @@ def _(spark, sf):
     return joins.as_of(v.weekly(spark, sf), m.withColumn("available_at", F.add_months("as_of", 1)), ["pcr", "atm_iv"])
 
 
-@query("call_greeks", "symbol, as_of:d, delta:5, gamma:8, theta:4, vega:3, rho:3", """SELECT symbol, as_of,
-  phi1 AS delta, exp(-0.5::DOUBLE * d1 * d1) / sqrt(2 * pi()) / (spot * s * sqrt(t)) AS gamma,
-  (-(exp(-0.5::DOUBLE * d1 * d1) / sqrt(2 * pi())) * s / (2 * sqrt(t)) - 0.06::DOUBLE * k * exp(-0.06::DOUBLE * t) * phi2) / 365 AS theta,
-  spot * exp(-0.5::DOUBLE * d1 * d1) / sqrt(2 * pi()) * sqrt(t) AS vega, k * t * exp(-0.06::DOUBLE * t) * phi2 AS rho
-FROM (SELECT *, 0.5::DOUBLE * (1 + erf(d1 / sqrt(2::DOUBLE))) AS phi1, 0.5::DOUBLE * (1 + erf((d1 - s * sqrt(t)) / sqrt(2::DOUBLE))) AS phi2 FROM (
-  SELECT symbol, as_of, spot, atm.v AS s, atm.k AS k, 30 / 365.0::DOUBLE AS t,
-  (ln(spot / atm.k) + (0.06::DOUBLE + atm.v * atm.v / 2) * 30 / 365.0::DOUBLE) / (atm.v * sqrt(30 / 365.0::DOUBLE)) AS d1 FROM q_chain))""" if False else None)
+def q_phi(x):
+    """Normal distribution by its power series."""
+    terms = f"list_transform(range(0, 120), lambda k: pow({x}, 2 * k + 1) / (pow(2.0::DOUBLE, k + 1) * gamma(k + 1.5::DOUBLE) / sqrt(pi())))"
+    inner = f"0.5::DOUBLE + exp(-0.5::DOUBLE * {x} * {x}) / sqrt(2 * pi()) * list_sum({terms})"
+    return f"CASE WHEN {x} > 8 THEN 1 WHEN {x} < -8 THEN 0 ELSE {inner} END"
+
+
+@query(
+    "call_greeks",
+    "symbol, as_of:d, delta:6, gamma:8, theta:4, vega:4, rho:4",
+    f"""SELECT symbol, as_of, {q_phi('d1')} AS delta, pdf / (spot * s * sqrt(t)) AS gamma, spot * pdf * sqrt(t) AS vega, k * t * exp(-0.06::DOUBLE * t) * {q_phi('d2')} AS rho,
+  (-pdf * s / (2 * sqrt(t)) - 0.06::DOUBLE * k * exp(-0.06::DOUBLE * t) * {q_phi('d2')}) / 365 AS theta FROM (
+  SELECT *, d1 - s * sqrt(t) AS d2, exp(-0.5::DOUBLE * d1 * d1) / sqrt(2 * pi()) AS pdf FROM (SELECT symbol, as_of, spot, atm.v AS s, atm.k AS k, 30 / 365.0::DOUBLE AS t,
+    (ln(spot / atm.k) + (0.06::DOUBLE + atm.v * atm.v / 2) * 30 / 365.0::DOUBLE) / (atm.v * sqrt(30 / 365.0::DOUBLE)) AS d1 FROM q_chain))""",
+)
 def _(spark, sf):
     return events.chain_metrics(v.chains(spark, sf), spots(spark, sf), days_to_expiry=30)
-

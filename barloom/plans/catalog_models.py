@@ -371,7 +371,17 @@ def _(spark, sf):
     return rs.pooled_dataset([v.weekly(spark, sf)], v.universe(spark, sf), 20, "2000-12-31")[0]
 
 
-@query("pooled_dataset_skipped", "symbol, reason")
+_IN = "(valid_from IS NULL OR date >= valid_from) AND (valid_to IS NULL OR date <= valid_to)"
+
+
+@query(
+    "pooled_dataset_skipped",
+    "symbol, reason",
+    f"""SELECT DISTINCT symbol, 'not in universe manifest' AS reason FROM weekly WHERE symbol NOT IN (SELECT symbol FROM universe)
+UNION ALL SELECT symbol, exclusion_reason FROM universe WHERE inclusion_status = 'excluded' AND symbol IN (SELECT symbol FROM weekly)
+UNION ALL SELECT symbol, 'no rows inside point-in-time universe window' FROM universe u WHERE inclusion_status <> 'excluded'
+  AND NOT EXISTS (SELECT 1 FROM weekly w WHERE w.symbol = u.symbol AND date <= DATE '2000-12-31' AND {_IN})""",
+)
 def _(spark, sf):
     return rs.pooled_dataset([v.weekly(spark, sf)], v.universe(spark, sf), 20, "2000-12-31")[1]
 

@@ -10,7 +10,7 @@ from ..operators import technical as t
 from ..sources.bars import interval_bars
 from . import views as v
 from .catalog_sources import ticks
-from .registry import query, sql_view
+from .registry import CATALOG, query, sql_view
 
 
 def win(n):
@@ -312,6 +312,22 @@ def _(spark, sf):
     return t.highs_and_volume(v.bars(spark, sf))
 
 
-@query("technical_features", "symbol, date:d, " + ", ".join(f"{c}:{4 if c not in ('obv',) else 2}" for c in t.TECHNICAL))
+# The composed group against the join of its parts' SQL.
+_PARTS = [
+    "bollinger", "atr", "adx", "cci", "obv", "mfi", "returns_and_momentum", "moving_average_block", "heikin_ashi",
+    "pivot_levels", "fibonacci", "highs_and_volume",
+]
+_REST = f"""SELECT symbol, date, {', '.join(f'close / lag(close, {n}) {LAG} - 1 AS ret_{n}d' for n in (3, 5, 10, 60))},
+  {', '.join(f'(close / lag(close, {n}) {LAG} - 1) * 100 AS roc_{n}d' for n in (1, 10, 20))}, close / m50 - 1 AS dist_sma50,
+  {', '.join(f'(m{n} - lag(m{n}, 5) {LAG}) / lag(m{n}, 5) {LAG} AS ma_slope_sma{n}_5d' for n in (20, 200))},
+  (m20 - m200) / m200 AS ma_spread_20_200, close / {q_ewm('close', span(50))} - 1 AS dist_ema50 FROM q_ma"""
+_LEVELS = {"bb_upper", "bb_mid", "bb_lower", "atr", "obv", "mom_10d", "pivot_high", "pivot_low"}
+
+
+@query(
+    "technical_features",
+    "symbol, date:d, " + ", ".join(f"{c}:{4 if c in _LEVELS else 6}" for c in t.TECHNICAL if c != "obv") + ", obv:2",
+    f"SELECT * FROM ({_REST}) rest " + " ".join(f"JOIN ({CATALOG[p].body}) {p} USING (symbol, date)" for p in _PARTS),
+)
 def _(spark, sf):
     return t.technical_features(v.bars(spark, sf))

@@ -46,11 +46,11 @@ def test_greeks_against_erf(spark):
 
     cdf = lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2)))
     df = spark.createDataFrame([(100.0, 110.0, 0.5, 0.3), (100.0, 100.0, 0.0, 0.3)], "s double, k double, t double, v double")
-    ok, bad = df.select(*[c.alias(n) for n, c in sc.call_greeks("s", "k", "t", "v").items()]).collect()
+    ok, bad = sc.call_greeks(df, "s", "k", "t", "v").collect()
     d1 = (math.log(100 / 110) + (0.06 + 0.045) * 0.5) / (0.3 * math.sqrt(0.5))
     d2 = d1 - 0.3 * math.sqrt(0.5)
-    assert ok["delta"] == pytest.approx(cdf(d1), abs=1e-6)
-    assert ok["rho"] == pytest.approx(110 * 0.5 * math.exp(-0.03) * cdf(d2), abs=1e-4)
+    assert ok["delta"] == pytest.approx(cdf(d1), abs=1e-12)
+    assert ok["rho"] == pytest.approx(110 * 0.5 * math.exp(-0.03) * cdf(d2), abs=1e-10)
     assert bad["delta"] is None
 
 

@@ -15,7 +15,7 @@ ANNUAL_DAYS = 252
 
 def side_cost(price, brokerage=BROKERAGE, fee=FEE_PERCENT, bps=SLIPPAGE_BPS) -> Column:
     p = w.col(price)
-    one = (brokerage + (fee / 100.0) * p + (bps / 10000.0) * p) / p
+    one = F.try_divide(brokerage + (fee / 100.0) * p + (bps / 10000.0) * p, p)
     return F.when(p > 0, one)
 
 
@@ -217,7 +217,7 @@ def buy_and_hold(bars: DataFrame, horizon: int, capital: float, keys=("symbol",)
     spec = Window.partitionBy(*keys).orderBy("date")
     rows = bars.where(F.col("close").isNotNull()).withColumns(
         {
-            "equity": capital * F.col("close") / F.first("close").over(spec),
+            "equity": capital * F.try_divide(F.col("close"), F.first("close").over(spec)),
             "_ahead": F.try_divide(F.lead("close", horizon).over(spec), F.col("close")) - 1,
         }
     )

@@ -44,8 +44,9 @@ def mask(panel: DataFrame, columns: list[str]) -> DataFrame:
     return panel.withColumns({c: F.when(F.col("eligible"), F.col(c)) for c in columns})
 
 
-def skipped_symbols(panel: DataFrame, universe: DataFrame) -> DataFrame:
-    """Why a symbol is absent from the pooled panel."""
+def skipped_symbols(panel: DataFrame, universe: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Why a symbol is absent from the pooled panel. ``known`` are the rows left by the
+    information cut-off, if there is one."""
     have = panel.select("symbol").distinct()
     unknown = have.join(universe, "symbol", "left_anti").select(
         "symbol", F.lit("not in universe manifest").alias("reason")
@@ -58,7 +59,7 @@ def skipped_symbols(panel: DataFrame, universe: DataFrame) -> DataFrame:
     absent = universe.join(have, "symbol", "left_anti").select(
         "symbol", F.lit("no feature frame supplied").alias("reason")
     )
-    inside = eligible_rows(panel, universe).select("symbol").distinct()
+    inside = eligible_rows(panel if known is None else known, universe).select("symbol").distinct()
     empty = (
         universe.where(F.coalesce("inclusion_status", F.lit("included")) != "excluded")
         .join(have, "symbol", "left_semi")

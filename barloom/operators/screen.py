@@ -133,7 +133,7 @@ def latest_quotes(bars: DataFrame) -> DataFrame:
         F.col("_r.date").alias("date"),
         F.round(c, 2).alias("current_price"),
         F.round(c - p, 2).alias("change"),
-        F.round((c - p) / p * 100, 2).alias("change_percent"),
+        F.round(w.ratio(c - p, p) * 100, 2).alias("change_percent"),
     )
 
 
@@ -169,7 +169,7 @@ def stock_cards(bars: DataFrame, months: int = 3) -> DataFrame:
             "macd_signal": F.when(n >= 35, F.col("macd_signal")),
             "current_price": F.round("close", 2),
             "change": F.round(F.col("close") - prev, 2),
-            "change_percent": F.round((F.col("close") - prev) / prev * 100, 2),
+            "change_percent": F.round(w.ratio(F.col("close") - prev, prev) * 100, 2),
         }
     )
     strong = F.coalesce("sma20", F.lit(0.0)) > F.coalesce("sma50", F.lit(0.0))

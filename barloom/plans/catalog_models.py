@@ -142,7 +142,12 @@ def _(spark, sf):
     return as_oof(pooled.predict(model, rows.where("role = 'test'"), prior))
 
 
-@query("feature_matrix", "symbol, n:i, width:i")
+@query(
+    "feature_matrix",
+    "symbol, n:i, width:i",
+    """SELECT symbol, count(*) AS n, 6 + (SELECT count(DISTINCT symbol) FROM weekly) + 1 AS width FROM (
+  SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM weekly) WHERE k > 20 GROUP BY symbol""",
+)
 def _(spark, sf):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array

@@ -108,7 +108,7 @@ def pooled_dataset(frames: list[DataFrame], universe: DataFrame, horizon: int =
     sound, bad = quality.quarantine(pooled, ["symbol", "date"])
     known = quality.as_of_cutoff(sound, as_of) if as_of is not None else sound
     inside = quality.eligible_rows(known, universe)
-    skipped = quality.skipped_symbols(known, universe).join(bad, "symbol", "left_anti").unionByName(bad)
+    skipped = quality.skipped_symbols(sound, universe, known).join(bad, "symbol", "left_anti").unionByName(bad)
     return labels.add_target(inside, horizon), skipped
 
 

@@ -82,3 +82,33 @@ def test_important_feature_ranks_first(rows):
     out = pooled.permutation_importance(model, noisy, ["a", "b", "noise"], "y", 2)
     imp = {r["feature"]: r["importance"] for r in out.collect()}
     assert imp["a"] > imp["b"] > imp["noise"]
+
+
+def test_pooled_dataset_reasons(spark):
+    """One bad symbol is set aside, and labels never read past the cut-off."""
+    import datetime as dt
+
+    from barloom.plans import research
+
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
+    rows = [("A", day(i), 100.0 + i) for i in range(10)]
+    rows += [("B", day(0), 1.0), ("B", day(0), 2.0), ("C", day(0), 1.0), ("E", day(8), 1.0), ("F", day(1), 1.0)]
+    frame = spark.createDataFrame(rows, "symbol string, date date, close double")
+    universe = spark.createDataFrame(
+        [
+            ("A", None, None, "included", None), ("B", None, None, "included", None), ("D", None, None, "included", None),
+            ("E", None, None, "included", None), ("F", None, None, "excluded", "too thin"),
+        ],
+        "symbol string, valid_from date, valid_to date, inclusion_status string, exclusion_reason string",
+    )
+    panel, skipped = research.pooled_dataset([frame], universe, 2, str(day(6)))
+    got = {r["symbol"]: r["reason"] for r in skipped.collect()}
+    assert got == {
+        "B": "duplicate dates in feature frame",
+        "C": "not in universe manifest",
+        "D": "no feature frame supplied",
+        "E": "no rows inside point-in-time universe window",
+        "F": "too thin",
+    }
+    labels = {r["date"]: r["target_ret_2d"] for r in panel.collect()}
+    assert len(labels) == 7 and labels[day(5)] is None and labels[day(4)] == pytest.approx(106 / 104 - 1)

@@ -28,13 +28,13 @@ def df_named(out: DataFrame, base: DataFrame, **named: Column) -> DataFrame:
 def rsi(df: DataFrame, n: int = 14, x: str = "close", name: str = "rsi") -> DataFrame:
     """Wilder RSI; the first row counts as no change, NULL while nothing ever fell."""
     step = w.diff(x)
-    staged = df.withColumns(
+    prepared = df.withColumns(
         {
             "_up": F.when(w.is_true(step > 0), step).otherwise(0.0),
             "_down": F.when(w.is_true(step < 0), -step).otherwise(0.0),
         }
     )
-    out = ewm(staged, {"_gain": ("_up", wilder(n)), "_loss": ("_down", wilder(n))})
+    out = ewm(prepared, {"_gain": ("_up", wilder(n)), "_loss": ("_down", wilder(n))})
     rs = w.ratio("_gain", "_loss")
     return df_named(out, df, **{name: 100 - 100 / (1 + rs)})
 
@@ -42,12 +42,12 @@ def rsi(df: DataFrame, n: int = 14, x: str = "close", name: str = "rsi") -> Data
 def rsi_simple(df: DataFrame, n: int = 14, x: str = "close", name: str = "rsi_simple") -> DataFrame:
     """Chart RSI: plain averages of the last ``n`` changes, 100 when nothing fell."""
     step = w.diff(x)
-    staged = df.withColumn("_step", step)
+    prepared = df.withColumn("_step", step)
     gain = w.sma(F.greatest(F.col("_step"), F.lit(0.0)), n)
     loss = w.sma(F.greatest(-F.col("_step"), F.lit(0.0)), n)
     # greatest() skips NULL, so the first change must be masked explicitly.
     known = F.count("_step").over(w.trailing(n)) == n
-    out = staged.withColumns({"_g": gain, "_l": loss, "_k": known})
+    out = prepared.withColumns({"_g": gain, "_l": loss, "_k": known})
     value = F.when(F.col("_l") == 0, 100.0).otherwise(100 - 100 / (1 + w.ratio("_g", "_l")))
     return df_named(out, df, **{name: F.when(F.col("_k"), value)})
 
@@ -98,9 +98,9 @@ def atr(df: DataFrame, n: int = 14) -> DataFrame:
 
 def adx(df: DataFrame, n: int = 14) -> DataFrame:
     plus, minus = directional_moves()
-    staged = df.withColumns({"_tr": true_range(), "_plus": plus, "_minus": minus})
+    prepared = df.withColumns({"_tr": true_range(), "_plus": plus, "_minus": minus})
     a = wilder(n)
-    out = ewm(staged, {"_atr": ("_tr", a), "_p": ("_plus", a), "_m": ("_minus", a)})
+    out = ewm(prepared, {"_atr": ("_tr", a), "_p": ("_plus", a), "_m": ("_minus", a)})
     out = df_named(
         out, df, plus_di=100 * w.ratio("_p", "_atr"), minus_di=100 * w.ratio("_m", "_atr")
     )
@@ -125,11 +125,33 @@ def heikin_ashi(df: DataFrame) -> DataFrame:
     )
 
 
-def obv(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, *blocks: list[dict[str, Column]]) -> DataFrame:
+    """Add blocks of columns. A block is a list of stages, each reading columns of the
+    stage before; equal stages of all blocks become one projection. Names starting with
+    ``_`` are dropped at the end."""
+    out, temporary = df, []
+    for i in range(max(len(b) for b in blocks)):
+        stage = {name: c for b in blocks if i < len(b) for name, c in b[i].items()}
+        temporary += [name for name in stage if name.startswith("_")]
+        out = out.withColumns(stage)
+    return out.drop(*temporary)
+
+
+def typical_price() -> Column:
+    return (F.col("high") + F.col("low") + F.col("close")) / 3
+
+
+def obv_steps() -> list[dict[str, Column]]:
     sign = F.coalesce(F.signum(w.diff("close")), F.lit(0.0))
-    out = df.withColumn("_flow", sign * F.col("volume"))
-    out = out.withColumn("obv", F.sum("_flow").over(w.running())).drop("_flow")
-    return out.withColumn("obv_slope", w.pct_change("obv", 20))
+    return [
+        {"_obv_flow": sign * F.col("volume")},
+        {"obv": F.sum("_obv_flow").over(w.running())},
+        {"obv_slope": w.pct_change("obv", 20)},
+    ]
+
+
+def obv(df: DataFrame) -> DataFrame:
+    return staged(df, obv_steps())
 
 
 def session_vwap(df: DataFrame, keys=("symbol", "session"), order: str = "time") -> DataFrame:
@@ -140,47 +162,69 @@ def session_vwap(df: DataFrame, keys=("symbol", "session"), order: str = "time")
     return df.withColumn("vwap", F.when(volume > 0, value / volume).otherwise(typical))
 
 
-def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, x: str = "close") -> DataFrame:
-    out = df.withColumns({"bb_mid": w.sma(x, n), "_std": w.roll_std(x, n)})
-    upper, lower = F.col("bb_mid") + k * F.col("_std"), F.col("bb_mid") - k * F.col("_std")
-    return out.withColumns(
+def bollinger_steps(n: int = 20, k: float = 2.0, x: str = "close") -> list[dict[str, Column]]:
+    upper, lower = F.col("bb_mid") + k * F.col("_bb_std"), F.col("bb_mid") - k * F.col("_bb_std")
+    return [
+        {"bb_mid": w.sma(x, n), "_bb_std": w.roll_std(x, n)},
         {
             "bb_upper": upper,
             "bb_lower": lower,
             "bb_width": w.ratio(upper - lower, "bb_mid"),
             "bb_pctb": w.ratio(F.col(x) - lower, upper - lower),
-        }
-    ).drop("_std")
+        },
+    ]
+
+
+def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, x: str = "close") -> DataFrame:
+    return staged(df, bollinger_steps(n, k, x))
+
+
+def cci_steps(n: int = 20) -> list[dict[str, Column]]:
+    return [
+        {"_cci_tp": typical_price()},
+        {"_cci_mean": w.sma("_cci_tp", n), "_cci_dev": w.mean_abs_dev("_cci_tp", n)},
+        {"cci": w.ratio(F.col("_cci_tp") - F.col("_cci_mean"), 0.015 * F.col("_cci_dev"))},
+    ]
 
 
 def cci(df: DataFrame, n: int = 20) -> DataFrame:
-    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-    out = df.withColumn("_tp", typical)
-    out = out.withColumns({"_mean": w.sma("_tp", n), "_dev": w.mean_abs_dev("_tp", n)})
-    return df_named(out, df, cci=w.ratio(F.col("_tp") - F.col("_mean"), 0.015 * F.col("_dev")))
+    return staged(df, cci_steps(n))
 
 
-def mfi(df: DataFrame, n: int = 14) -> DataFrame:
-    """Money flow index; 100 whenever no outflow is known, warm-up included."""
-    out = df.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3)
-    money, before = F.col("_tp") * F.col("volume"), w.lag("_tp")
-    out = out.withColumns(
+def mfi_steps(n: int = 14) -> list[dict[str, Column]]:
+    """100 whenever no outflow is known, warm-up included."""
+    tp, before = F.col("_mfi_tp"), w.lag("_mfi_tp")
+    money = tp * F.col("volume")
+    value = 100 - 100 / (1 + w.ratio("_mfi_pos", "_mfi_neg"))
+    return [
+        {"_mfi_tp": typical_price()},
         {
-            "_in": F.when(w.is_true(F.col("_tp") > before), money).otherwise(0.0),
-            "_out": F.when(w.is_true(F.col("_tp") < before), money).otherwise(0.0),
-        }
-    )
-    out = out.withColumns({"_pos": w.roll_sum("_in", n), "_neg": w.roll_sum("_out", n)})
-    value = 100 - 100 / (1 + w.ratio("_pos", "_neg"))
-    return df_named(out, df, mfi=F.when(w.is_true(F.col("_neg") > 0), value).otherwise(100.0))
+            "_mfi_in": F.when(w.is_true(tp > before), money).otherwise(0.0),
+            "_mfi_out": F.when(w.is_true(tp < before), money).otherwise(0.0),
+        },
+        {"_mfi_pos": w.roll_sum("_mfi_in", n), "_mfi_neg": w.roll_sum("_mfi_out", n)},
+        {"mfi": F.when(w.is_true(F.col("_mfi_neg") > 0), value).otherwise(100.0)},
+    ]
+
+
+def mfi(df: DataFrame, n: int = 14) -> DataFrame:
+    return staged(df, mfi_steps(n))
+
+
+def return_steps(horizons=RETURN_HORIZONS, x: str = "close") -> list[dict[str, Column]]:
+    return [{f"ret_{n}d": w.pct_change(x, n) for n in horizons}]
 
 
 def returns(df: DataFrame, horizons=RETURN_HORIZONS, x: str = "close") -> DataFrame:
-    return df.withColumns({f"ret_{n}d": w.pct_change(x, n) for n in horizons})
+    return staged(df, return_steps(horizons, x))
+
+
+def rate_of_change_steps(horizons=(1, 5, 10, 20), x: str = "close") -> list[dict[str, Column]]:
+    return [{f"roc_{n}d": w.pct_change(x, n) * 100 for n in horizons}]
 
 
 def rate_of_change(df: DataFrame, horizons=(1, 5, 10, 20), x: str = "close") -> DataFrame:
-    return df.withColumns({f"roc_{n}d": w.pct_change(x, n) * 100 for n in horizons})
+    return staged(df, rate_of_change_steps(horizons, x))
 
 
 def momentum(df: DataFrame, n: int = 10, x: str = "close") -> DataFrame:
@@ -196,48 +240,60 @@ def crossover(fast, slow) -> Column:
     return F.when(above, 1.0).when(below, -1.0).otherwise(0.0)
 
 
-def moving_average_block(df: DataFrame, x: str = "close") -> DataFrame:
+def moving_average_steps(x: str = "close") -> list[dict[str, Column]]:
     """Distances, slopes, crossovers and spreads of simple averages."""
-    out = df.withColumns({f"_ma{n}": w.sma(x, n) for n in DISTANCE_PERIODS})
     made = {}
     for n in DISTANCE_PERIODS:
         made[f"dist_sma{n}"] = w.ratio(x, f"_ma{n}") - 1
         made[f"ma_slope_sma{n}_5d"] = w.slope(f"_ma{n}", 5)
     for fast, slow in CROSS_PAIRS:
         made[f"ma_cross_{fast}_{slow}"] = crossover(f"_ma{fast}", f"_ma{slow}")
-        made[f"ma_spread_{fast}_{slow}"] = w.ratio(
-            F.col(f"_ma{fast}") - F.col(f"_ma{slow}"), f"_ma{slow}"
-        )
-    return out.withColumns(made).drop(*[f"_ma{n}" for n in DISTANCE_PERIODS])
+        made[f"ma_spread_{fast}_{slow}"] = w.ratio(F.col(f"_ma{fast}") - F.col(f"_ma{slow}"), f"_ma{slow}")
+    return [{f"_ma{n}": w.sma(x, n) for n in DISTANCE_PERIODS}, made]
 
 
-def pivots(df: DataFrame, n: int = 10) -> DataFrame:
-    out = df.withColumns({"pivot_high": w.roll_max("high", n), "pivot_low": w.roll_min("low", n)})
-    return out.withColumns(
+def moving_average_block(df: DataFrame, x: str = "close") -> DataFrame:
+    return staged(df, moving_average_steps(x))
+
+
+def pivot_steps(n: int = 10) -> list[dict[str, Column]]:
+    return [
+        {"pivot_high": w.roll_max("high", n), "pivot_low": w.roll_min("low", n)},
         {
             "pivot_dist_high_pct": w.ratio("close", "pivot_high") - 1,
             "pivot_dist_low_pct": w.ratio("close", "pivot_low") - 1,
-        }
-    )
+        },
+    ]
 
 
-def fibonacci(df: DataFrame, n: int = 60) -> DataFrame:
-    out = df.withColumns({"_hi": w.roll_max("high", n), "_lo": w.roll_min("low", n)})
-    reach = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    made = {"fib_level_pct": w.ratio(F.col("close") - F.col("_lo"), reach)}
+def pivots(df: DataFrame, n: int = 10) -> DataFrame:
+    return staged(df, pivot_steps(n))
+
+
+def fibonacci_steps(n: int = 60) -> list[dict[str, Column]]:
+    reach = F.nullif(F.col("_fib_hi") - F.col("_fib_lo"), F.lit(0.0))
+    made = {"fib_level_pct": w.ratio(F.col("close") - F.col("_fib_lo"), reach)}
     for level in (0.382, 0.618):
-        off = F.abs(F.col("close") - (F.col("_hi") - level * reach))
+        off = F.abs(F.col("close") - (F.col("_fib_hi") - level * reach))
         made[f"fib_dist_{int(level * 1000)}"] = w.ratio(off, "close")
-    return out.withColumns(made).drop("_hi", "_lo")
+    return [{"_fib_hi": w.roll_max("high", n), "_fib_lo": w.roll_min("low", n)}, made]
 
 
-def highs_and_volume(df: DataFrame) -> DataFrame:
-    return df.withColumns(
+def fibonacci(df: DataFrame, n: int = 60) -> DataFrame:
+    return staged(df, fibonacci_steps(n))
+
+
+def high_and_volume_steps() -> list[dict[str, Column]]:
+    return [
         {
             "dist_52w_high": w.ratio("close", F.max("close").over(w.trailing(252))) - 1,
             "vol_ratio_20_60": w.ratio(w.sma("volume", 20), w.sma("volume", 60)),
         }
-    )
+    ]
+
+
+def highs_and_volume(df: DataFrame) -> DataFrame:
+    return staged(df, high_and_volume_steps())
 
 
 def technical_features(df: DataFrame) -> DataFrame:
@@ -245,7 +301,7 @@ def technical_features(df: DataFrame) -> DataFrame:
     plus, minus = directional_moves()
     step = w.diff("close")
     ha = (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4
-    staged = df.withColumns(
+    prepared = df.withColumns(
         {
             "_tr": true_range(),
             "_plus": plus,
@@ -257,7 +313,7 @@ def technical_features(df: DataFrame) -> DataFrame:
     )
     a = wilder(14)
     out = ewm(
-        staged.withColumnsRenamed({c: f"t{c}" for c in ["_tr", "_plus", "_minus", "_up", "_down", "_hac"]}),
+        prepared.withColumnsRenamed({c: f"t{c}" for c in ["_tr", "_plus", "_minus", "_up", "_down", "_hac"]}),
         {
             "atr": ("t_tr", a),
             "t_p": ("t_plus", a),
@@ -293,13 +349,11 @@ def technical_features(df: DataFrame) -> DataFrame:
     out = ewm(out, {"macd_signal": ("macd", span(9))})
     out = ewm(out, {"adx": ("t_dx", a)}, gaps=True)
     out = out.drop(*[c for c in out.columns if c.startswith("t_")])
-    out = out.withColumns({"sma20": w.sma("close", 20), "sma50": w.sma("close", 50)})
-    for block in (
-        bollinger, cci, obv, mfi, rate_of_change, momentum, returns,
-        moving_average_block, pivots, fibonacci, highs_and_volume,
-    ):
-        out = out.transform(block)
-    return out
+    averages = [{"sma20": w.sma("close", 20), "sma50": w.sma("close", 50), "mom_10d": w.diff("close", 10)}]
+    return staged(
+        out, averages, bollinger_steps(), cci_steps(), obv_steps(), mfi_steps(), rate_of_change_steps(), return_steps(),
+        moving_average_steps(), pivot_steps(), fibonacci_steps(), high_and_volume_steps(),
+    )
 
 
 TECHNICAL = sorted(

@@ -22,15 +22,15 @@ SHARDS = 40
 SHARD_SQL = """
 WITH crc_table AS (
   SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), range(8)),
-    (c, k) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
   FROM range(256) r(i)
 ), d AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
 ), c AS (
   SELECT doc_id, CAST(octet_length(encode(text)) + 16 AS BIGINT) AS size,
     xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
-      list_transform(regexp_extract_all(hex(encode(text)), '..'), p -> CAST(('0x' || p) AS BIGINT))),
-      (a, b) -> xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32
+      list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: CAST(('0x' || p) AS BIGINT))),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32
   FROM d, crc_table
 ), s AS (
   SELECT doc_id, i, (CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || i), 1, 13) AS BIGINT) AS DOUBLE) + 0.5)

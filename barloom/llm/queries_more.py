@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, merkle, packing, pitman_yor, simhash
+from barloom.llm import cotraining, exact_dedup, merkle, packing, pitman_yor, simhash
 from barloom.llm.common import remainder, table
 from barloom.llm.registry import query
 
@@ -45,3 +45,11 @@ def op9(spark, sf_dir):
 @query("op10_packing")
 def op10(spark, sf_dir):
     return packing.packed_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op7_cotraining_quality")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.train(docs, table(spark, sf_dir, "labels"))
+    done = docs.select("doc_id", cotraining.quality(spark, model, docs).alias("q"))
+    return done.select("doc_id", "q.score", "q.text_score", "q.page_score", (F.col("q.score") >= 0.5).alias("accepted"))

@@ -21,12 +21,13 @@ from barloom.session import materialize
 
 SIZE = 1 << 16
 LABELLED = 20_000
-FEW = 100
+FEW = 50
+REPEATS = 32
 META = ("source", "lang", "n_chars")
 
 
 class Trigrams:
-    """Distinct hashed byte trigrams of texts."""
+    """Distinct hashed byte trigrams of texts, and some features for how often they repeat at the text's length."""
 
     def __init__(self):
         self.seen = np.zeros(SIZE, bool)
@@ -39,7 +40,9 @@ class Trigrams:
         self.seen[key] = True
         out = np.flatnonzero(self.seen)
         self.seen[key] = False
-        return out
+        repeats = int(2 * np.log2(len(b) / len(out)))
+        first = zlib.crc32(f"{len(b).bit_length()}:{repeats}".encode())
+        return np.concatenate((out, (first + np.arange(REPEATS) * 2654435761) % SIZE))
 
 
 def meta_features(source, lang, n_chars) -> list[int]:
@@ -72,11 +75,12 @@ class View:
         bad, good, n_bad, n_good = counts[:SIZE], counts[SIZE : 2 * SIZE], counts[-2], counts[-1]
         self.weights = np.log((good + 0.5) / (n_good + 1)) - np.log((bad + 0.5) / (n_bad + 1))
         self.weights[(good + bad) == 0] = 0.0
+        self.center = float(((good + bad) * self.weights).sum() / max((good + bad).sum(), 1.0))
         self.line = np.array([1.0, 0.0])
 
     def raw(self, features) -> float:
-        """Mean ratio; few features say less than many."""
-        return float(self.weights[features].sum() / (len(features) + FEW))
+        """Mean ratio; the fewer the features, the nearer to that of all rows."""
+        return float((self.weights[features].sum() + FEW * self.center) / (len(features) + FEW))
 
     def calibrate(self, scores: np.ndarray, y: np.ndarray) -> None:
         self.line = fit_logistic(scores[:, None], y)

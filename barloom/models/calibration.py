@@ -17,12 +17,12 @@ def logit(p: Column) -> Column:
     return F.log(c / (1 - c))
 
 
-def fit_platt(rows: DataFrame, keys: list[str], p: str = "p", y: str = "y", rounds: int = 8) -> DataFrame:
+def fit_platt(rows: DataFrame, keys: list[str], p: str = "p", y: str = "y") -> DataFrame:
     """Slope ``a`` and intercept ``b`` on the logit per key."""
     seen = rows.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(
         *keys, logit(F.col(p)).alias("_z"), F.col(y).cast("double").alias("_t")
     )
-    w = grouped.fit_logistic(seen, keys, ["_z"], "_t", l2=0.0, rounds=rounds)
+    w = grouped.fit_logistic(seen, keys, ["_z"], "_t", l2=0.0)
     return w.select(*keys, F.element_at("weights", 2).alias("a"), F.element_at("weights", 1).alias("b"))
 
 

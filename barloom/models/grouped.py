@@ -108,17 +108,20 @@ def fit_ridge(train: DataFrame, keys: list[str], features: list[str], label: str
 
 
 def fit_logistic(
-    train: DataFrame, keys: list[str], features: list[str], label: str, l2: float = 1.0, rounds: int = 6, balance: bool = False
+    train: DataFrame, keys: list[str], features: list[str], label: str, l2: float = 1.0, balance: bool = False,
+    tolerance: float = 1e-9, most: int = 200,
 ) -> DataFrame:
     """Logistic weights per key by iteratively reweighted least squares.
 
     Each round is one aggregation over the training rows; the small weights table is
-    written between rounds, which keeps the plan short and survives lost executors.
+    written between rounds, which keeps the plan short and survives lost executors. A key
+    whose weights move by no more than ``tolerance`` is done and leaves the next round; one
+    that still moves after ``most`` rounds comes back with ``converged`` false.
     """
     rows = train.where(F.col(label).isNotNull()).select(*keys, *features, F.col(label).cast("double").alias("_y"))
     rows = balanced(rows, keys, "_y") if balance else rows.withColumn("_w", F.lit(1.0))
-    weights = None
-    for _ in range(rounds):
+    weights = done = None
+    for _ in range(most):
         if weights is None:
             lin = F.lit(0.0)
             seen = rows
@@ -129,9 +132,19 @@ def fit_logistic(
         seen = seen.withColumn("_mu", F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), sigmoid(F.col("_lin")))))
         spread = F.col("_mu") * (1 - F.col("_mu"))
         working = F.col("_lin") + (F.col("_y") - F.col("_mu")) / spread
-        stats = gram(seen, keys, features, working, F.col("_w") * spread)
-        weights = materialize(solve(stats, keys, l2), "logistic-weights")
-    return weights
+        after = solve(gram(seen, keys, features, working, F.col("_w") * spread), keys, l2)
+        if weights is None:
+            weights = materialize(after, "logistic-weights")
+            continue
+        step = F.array_max(F.zip_with("weights", "_before", lambda a, b: F.abs(a - b)))
+        after = after.join(weights.select(*keys, F.col("weights").alias("_before")), keys).withColumn("_step", step)
+        after = materialize(after.drop("_before"), "logistic-weights")
+        still = after.where(F.col("_step") <= tolerance).drop("_step").withColumn("converged", F.lit(True))
+        done = still if done is None else done.unionByName(still)
+        weights = after.where(F.col("_step") > tolerance).drop("_step")
+        if weights.isEmpty():
+            return done
+    return done.unionByName(weights.withColumn("converged", F.lit(False)))
 
 
 def score(
@@ -149,7 +162,7 @@ def score(
 
 def out_of_fold(
     panel: DataFrame, folds: DataFrame, features: list[str], label: str, group: list[str], kind: str = "logistic",
-    l2: float = 1.0, rounds: int = 6, fold_keys: list[str] | None = None,
+    l2: float = 1.0, fold_keys: list[str] | None = None,
 ) -> DataFrame:
     """Out-of-fold probabilities of one model per ``group`` and fold, all in one job.
 
@@ -163,7 +176,7 @@ def out_of_fold(
     rows = materialize(standardize(rows, rows.where("role = 'train'"), keys, features), "oof-rows")
     train = rows.where("role = 'train'")
     if kind == "logistic":
-        weights = fit_logistic(train, keys, features, label, l2, rounds)
+        weights = fit_logistic(train, keys, features, label, l2)
     else:
         weights = fit_ridge(train, keys, features, label, l2)
     return score(rows.where("role = 'test'"), weights, keys, features, kind)

@@ -82,13 +82,15 @@ def predict(model: PipelineModel | None, rows: DataFrame, prior: float) -> DataF
 
 def out_of_fold(
     panel: DataFrame, folds: DataFrame, features: list[str], label: str, models=("logistic",), seeds=(0,),
-    fold_ids=(0, 1, 2, 3), sizes: dict | None = None, symbol: str | None = None,
+    fold_ids=None, sizes: dict | None = None, symbol: str | None = None,
 ) -> DataFrame:
-    """Predictions of every (fold, seed, model); one distributed fit each."""
+    """Predictions of every (fold, seed, model); one distributed fit each. All folds of the table unless listed."""
     from ..operators.splits import assign
 
     rows = materialize(assign(panel, folds), "pooled-rows")
     out = None
+    if fold_ids is None:
+        fold_ids = sorted(r["fold"] for r in folds.select("fold").distinct().collect())
     for fold in fold_ids:
         part = rows.where(F.col("fold") == fold)
         for name in models:
@@ -101,12 +103,11 @@ def out_of_fold(
     return out
 
 
-def positions(df: DataFrame, name: str, seed: int, buckets: int | None = None) -> DataFrame:
+def positions(df: DataFrame, name: str, seed: int, buckets: int = 1024) -> DataFrame:
     """Number rows in a random but repeatable order, bucket by bucket.
 
     The order is a hash; offsets come from bucket counts, so no task sorts all rows.
     """
-    buckets = buckets or 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     h = F.xxhash64(F.lit(seed), *df.columns)
     out = df.withColumns({"_h": h, "_hb": F.pmod(h, F.lit(buckets))})
     sizes = out.groupBy("_hb").agg(F.count(F.lit(1)).alias("_c")).withColumn("_one", F.lit(1))

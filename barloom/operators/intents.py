@@ -51,8 +51,12 @@ def _first(text: Column, patterns: list[str]) -> Column:
     return F.round(F.coalesce(*[_number(text, p) for p in patterns]), 2)
 
 
-def parse_intent(messages: DataFrame, text: str = "text") -> DataFrame:
-    """Add max_price, min_price, action, bullish_days and top to each message."""
+def parse_intent(messages: DataFrame, text: str = "text", longest: int | None = None) -> DataFrame:
+    """Add max_price, min_price, action, bullish_days and top to each message.
+
+    ``bullish_days`` is at most 60 and ``top`` from 1 to 50. A bare number counts as a price in
+    messages of any length, or of less than ``longest`` characters.
+    """
     t = F.col(text)
     action = F.lit(None).cast("string")
     for name, pattern in reversed(ACTIONS.items()):
@@ -74,7 +78,7 @@ def parse_intent(messages: DataFrame, text: str = "text") -> DataFrame:
         F.col("_max").isNull()
         & F.col("min_price").isNull()
         & ~t.rlike(NOT_A_PRICE)
-        & (F.length(t) < 200),
+        & (F.lit(True) if longest is None else F.length(t) < longest),
         F.round(_number(t, BARE), 2),
     )
     priced = F.coalesce("_max", bare)
@@ -86,8 +90,9 @@ def mentions(messages: DataFrame, symbols: DataFrame, names: DataFrame, key: str
     """Symbols named in each message: tickers in order of appearance, then company
     phrases, longest first. ``names`` is ``(phrase, symbol)``.
 
-    Tokens and word groups of a message are matched by equality joins, so the dictionary
-    is never scanned per message.
+    Tokens are matched by an equality join. Phrases of any number of words meet a message
+    at their first word and are then compared whole, so the dictionary is never scanned
+    per message. An underscore is part of a word.
     """
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     tokens = messages.select(
@@ -96,24 +101,19 @@ def mentions(messages: DataFrame, symbols: DataFrame, names: DataFrame, key: str
     direct = tokens.join(symbols.select("symbol").distinct(), "symbol").select(
         key, "symbol", F.lit(0).alias("kind"), F.col("pos").alias("seq"), F.lit("").alias("phrase")
     )
-    words = messages.select(key, F.split(F.regexp_replace(low, r"[^a-z0-9 .&-]", " "), " ").alias("ws"))
-    groups = words.select(
-        key,
-        F.explode(
-            F.flatten(
-                F.transform(
-                    F.sequence(F.lit(1), F.lit(5)),
-                    lambda n: F.transform(
-                        F.sequence(F.lit(1), F.size("ws")),
-                        lambda i: F.array_join(F.slice("ws", i, n), " "),
-                    ),
-                )
-            )
-        ).alias("g"),
+    trim = r"^[^a-z0-9]+|[^a-z0-9]+$"
+    words = messages.select(key, F.split(F.regexp_replace(low, r"[^a-z0-9_ .&-]", " "), " ").alias("ws"))
+    starts = words.select(key, "ws", F.posexplode("ws").alias("at", "word")).select(
+        key, F.regexp_replace("word", trim, "").alias("first"), "ws", "at"
+    )
+    known = names.select(
+        "phrase", "symbol", F.size(F.split("phrase", " ")).alias("size"),
+        F.regexp_replace(F.substring_index("phrase", " ", 1), trim, "").alias("first"),
     )
-    clean = F.regexp_replace("g", r"^[^a-z0-9]+|[^a-z0-9]+$", "")
-    phrase = groups.select(key, clean.alias("phrase")).distinct().join(names, "phrase").select(
-        key, "symbol", F.lit(1).alias("kind"), (-F.length("phrase")).alias("seq"), "phrase"
+    group = F.array_join(F.slice("ws", F.col("at") + 1, F.col("size")), " ")
+    phrase = (
+        starts.where("first <> ''").join(known, "first").where(F.regexp_replace(group, trim, "") == F.col("phrase"))
+        .select(key, "symbol", F.lit(1).alias("kind"), (-F.length("phrase")).alias("seq"), "phrase").distinct()
     )
     best = F.min(F.struct("kind", "seq", "phrase"))
     return direct.unionByName(phrase).groupBy(key, "symbol").agg(best.alias("at"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import ranking
 from ..functions.tables import one_row
 from ..functions.windows import correlation
+from . import quality
 
 EDGES = [i * 0.1 for i in range(1, 10)]
 
@@ -314,26 +315,37 @@ def robustness(fold_deltas: DataFrame, seed_deltas: DataFrame) -> DataFrame:
     return one_row(folds, seeds)
 
 
+def _poisson() -> list[float]:
+    """P(Poisson(1) <= k) for every k below 1 in double precision."""
+    out, total, p, k = [], 0.0, 2.718281828459045 ** -1, 0
+    while total + p > total:
+        total += p
+        out.append(total)
+        k += 1
+        p /= k
+    return out
+
+
+POISSON = _poisson()
+
+
 def bootstrap_mean(
-    units: DataFrame, value: str, rounds: int = 1000, low: float = 0.025, high: float = 0.975, seed: int = 42
+    units: DataFrame, value: str, key: str, rounds: int = 1000, low: float = 0.025, high: float = 0.975, seed: int = 42
 ) -> DataFrame:
     """Percentile interval of the mean under resampling of ``units``.
 
     Each unit draws a Poisson(1) weight per round from a hash, so rounds need no state
     and nothing is gathered: weights and values are folded to one row per round in every
-    task. ``units`` should be resampling units (symbols, dates), not raw rows.
+    task. ``units`` should be resampling units (symbols, dates), not raw rows, and ``key``
+    names each of them: units of equal values draw apart, a repeated key fails.
     """
-    u = (
-        F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_b", *units.columns), 11).cast("double")
-        / float(1 << 53)
-    )
-    k, total, p = F.lit(0), 0.0, 2.718281828459045 ** -1
-    for i in range(12):
-        total += p
-        k = k + F.when(F.col("_u") > total, 1).otherwise(0)
-        p /= i + 1
+    text = F.concat_ws(":", F.lit(str(seed)), F.col("_b").cast("string"), F.col(key).cast("string"))
+    u = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    k = F.lit(0)
+    for level in POISSON:
+        k = k + F.when(F.col("_u") > level, 1).otherwise(0)
     rounds_df = (
-        units.where(F.col(value).isNotNull())
+        quality.require_unique(units, [key]).where(F.col(value).isNotNull())
         .withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
         .withColumn("_u", u)
         .withColumn("_w", k)

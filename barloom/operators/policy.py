@@ -280,13 +280,15 @@ def band_coverage(holdout: DataFrame, band: DataFrame, keys: list[str], p: str =
     )
 
 
-def null_controls(rows: DataFrame, coverage: DataFrame, key: str, prob: str = "p", y: str = "y", seed: int = 17) -> DataFrame:
+def null_controls(rows: DataFrame, coverage: DataFrame, key: str, unit: str, prob: str = "p", y: str = "y", seed: int = 17) -> DataFrame:
     """Accept-all, accept-none and random acceptance at the candidate's own coverage.
 
-    Random acceptance is a hash of the row below the coverage share: no global shuffle,
-    and a rerun gives the same rows.
+    Random acceptance is a hash of key and ``unit`` (what identifies a row within its key)
+    below the coverage share: no global shuffle, rows of equal values are drawn apart, and
+    a rerun gives the same rows.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(1 << 40)) / float(1 << 40)
+    text = F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col(unit).cast("string"))
+    u = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
     base = rows.join(coverage.select(key, F.col("coverage").alias("_c")), key)
     items = [
         F.struct(F.lit("always_accept").alias("control"), F.lit(True).alias("accepted")),

@@ -21,8 +21,11 @@ def inside_window(date: str = "date") -> Column:
 
 
 def eligible_rows(panel: DataFrame, universe: DataFrame) -> DataFrame:
-    """Panel rows inside their member's validity window, excluded members removed."""
-    members = universe.where(F.coalesce("inclusion_status", F.lit("included")) != "excluded")
+    """Panel rows inside their member's validity window, excluded members removed.
+
+    A universe that lists a symbol twice fails instead of doubling its rows.
+    """
+    members = require_unique(universe, ["symbol"]).where(F.coalesce("inclusion_status", F.lit("included")) != "excluded")
     return (
         panel.join(members.select("symbol", "valid_from", "valid_to"), "symbol")
         .where(inside_window())
@@ -32,7 +35,7 @@ def eligible_rows(panel: DataFrame, universe: DataFrame) -> DataFrame:
 
 def with_eligibility(panel: DataFrame, universe: DataFrame) -> DataFrame:
     """Keep every row and say whether its member was valid that day."""
-    m = universe.select("symbol", "valid_from", "valid_to", F.lit(True).alias("_member"))
+    m = require_unique(universe, ["symbol"]).select("symbol", "valid_from", "valid_to", F.lit(True).alias("_member"))
     return (
         panel.join(m, "symbol", "left")
         .withColumn("eligible", F.coalesce(F.col("_member") & inside_window(), F.lit(False)))

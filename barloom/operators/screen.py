@@ -268,7 +268,6 @@ def screen(intents: DataFrame, cards: DataFrame) -> DataFrame:
     order = Window.partitionBy("_id").orderBy(signal_rank(), F.desc("confidence"), "symbol")
     best = (
         hits.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= 50)
         .where(F.col("rank") <= F.col("top"))
         .select("_id", "symbol", "signal", "confidence", "current_price", "rank")
     )

@@ -62,7 +62,10 @@ def ema_seeded(df: DataFrame, x: str, n: int, name: str) -> DataFrame:
 
 
 def macd_chart(df: DataFrame, x: str = "close") -> DataFrame:
-    """Chart MACD (12, 26, 9) from seeded EMAs, rounded to cents; 35 rows at least."""
+    """Chart MACD (12, 26, 9) from seeded EMAs; 35 rows at least.
+
+    Values stay unrounded, so that they can be computed with; rounding to cents is the chart's.
+    """
     out = ema_seeded(ema_seeded(df, x, 12, "_fast"), x, 26, "_slow")
     out = df_named(out, df, _line=F.col("_fast") - F.col("_slow"))
     out = ema_seeded(out, "_line", 9, "_sig")

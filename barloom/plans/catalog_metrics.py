@@ -405,10 +405,21 @@ def _(spark, sf):
     return metrics.robustness(metrics.auc_deltas(p, ["fold"], "q", "p"), metrics.auc_deltas(p, ["seed"], "q", "p"))
 
 
-@query("bootstrap_interval", "mean:6, ci_lower:6, ci_upper:6, se:6")
+sql_view("q_units", "SELECT date, avg(ret) AS ret FROM preds GROUP BY date")
+_DRAWN = " + ".join(f"CASE WHEN u > CAST({x!r} AS DOUBLE) THEN 1 ELSE 0 END" for x in metrics.POISSON)
+
+
+@query(
+    "bootstrap_interval",
+    "mean:6, ci_lower:6, ci_upper:6, se:6",
+    f"""SELECT (SELECT avg(ret) FROM q_units) AS mean, quantile_cont(m, 0.025) AS ci_lower, quantile_cont(m, 0.975) AS ci_upper, stddev_samp(m) AS se FROM (
+  SELECT b, sum(w * ret) / sum(w) AS m FROM (SELECT b, ret, {_DRAWN} AS w FROM (
+    SELECT b, ret, CAST(CAST('0x' || substr(md5('42:' || b || ':' || CAST(date AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+    FROM q_units, range(1, 1001) r(b) WHERE ret IS NOT NULL)) GROUP BY b)""",
+)
 def _(spark, sf):
     units = v.preds(spark, sf).groupBy("date").agg(F.avg("ret").alias("ret"))
-    return metrics.bootstrap_mean(units, "ret")
+    return metrics.bootstrap_mean(units, "ret", "date")
 
 
 @query(

@@ -117,7 +117,7 @@ def _(spark, sf):
 @query("oof_per_symbol_logistic", OOF)
 def _(spark, sf):
     p, f = ready(spark, sf)
-    return as_oof(grouped.out_of_fold(p, f, rs.FEATURES, "up", ["symbol"], "logistic", rounds=4))
+    return as_oof(grouped.out_of_fold(p, f, rs.FEATURES, "up", ["symbol"], "logistic"))
 
 
 @query("leave_one_symbol_out", OOF)
@@ -129,8 +129,8 @@ def _(spark, sf):
 @query("oof_pooled_models", "symbol, date:d, fold:i, model, seed:i, prob:6, y:0")
 def _(spark, sf):
     p, f = ready(spark, sf)
-    out = pooled.out_of_fold(p, f, rs.FEATURES, "up", ("logistic",), (0,), (2, 3), None, "symbol")
-    forest = pooled.out_of_fold(p, f, rs.FEATURES, "up", ("rf",), (0,), (3,), {"numTrees": 20, "maxDepth": 5})
+    out = pooled.out_of_fold(p, f, rs.FEATURES, "up", ("logistic",), symbol="symbol")
+    forest = pooled.out_of_fold(p, f, rs.FEATURES, "up", ("rf",))
     return as_oof(out.unionByName(forest))
 
 
@@ -248,8 +248,9 @@ def _(spark, sf):
 def _(spark, sf):
     p, f = ready(spark, sf)
     rows = grouped.out_of_fold(p, f, rs.FEATURES, "ret", [], "plain")
-    mean = p.agg(F.avg("ret")).scalar()
-    rows = materialize(rows.where("ret IS NOT NULL").withColumn("pred", F.col("prob")).withColumn("null_pred", mean), "verdict")
+    # The null forecast knows its fold's training rows only.
+    known = splits.assign(p, f).where("role = 'train'").groupBy("fold").agg(F.avg("ret").alias("null_pred"))
+    rows = materialize(rows.where("ret IS NOT NULL").withColumn("pred", F.col("prob")).join(known, "fold"), "verdict")
     rmse = lambda c: F.sqrt(F.avg(F.pow(F.col("ret") - F.col(c), 2))).alias("rmse")
     err = rows.select(F.greatest(F.lit(0.01), F.least(F.lit(0.99), 0.5 + F.col("pred"))).alias("p"), (F.col("ret") - F.col("pred")).alias("error"))
     return policy.return_risk_verdict(

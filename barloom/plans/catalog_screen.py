@@ -293,7 +293,7 @@ def _qnum(p):
 _ACT = " ".join(f"WHEN regexp_matches(text, {_lit(p)}) THEN '{a}'" for a, p in intents.ACTIONS.items())
 sql_view(
     "q_intents",
-    f"""SELECT id, text, coalesce(mx, CASE WHEN mx IS NULL AND mn IS NULL AND NOT regexp_matches(text, {_lit(intents.NOT_A_PRICE)}) AND length(text) < 200 THEN round({_qnum(intents.BARE)}, 2) END,
+    f"""SELECT id, text, coalesce(mx, CASE WHEN mx IS NULL AND mn IS NULL AND NOT regexp_matches(text, {_lit(intents.NOT_A_PRICE)}) THEN round({_qnum(intents.BARE)}, 2) END,
   CASE WHEN regexp_matches(text, {_lit(intents.PENNY)}) THEN 100.0::DOUBLE END) AS max_price, mn AS min_price, CASE {_ACT} END AS action,
   CASE WHEN regexp_extract(text, {_lit(intents.DAYS)}, 1) <> '' THEN least(TRY_CAST(regexp_extract(text, {_lit(intents.DAYS)}, 1) AS INTEGER), 60) END AS bullish_days, CASE WHEN {_qnum(intents.TOP)} IS NULL THEN 10 ELSE least(greatest(CAST(trunc({_qnum(intents.TOP)}) AS INTEGER), 1), 50) END AS top
 FROM (SELECT *, round(coalesce({', '.join(_qnum(p) for p in intents.MAX_PRICE)}), 2) AS mx, round(coalesce({', '.join(_qnum(p) for p in intents.MIN_PRICE)}), 2) AS mn FROM q_msgs)""",
@@ -771,7 +771,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = selected(spark, sf)
     cover = policy.selective_metrics(rows, ["policy"]).select("policy", "coverage")
-    return policy.null_controls(rows.drop("accepted", "decision"), cover, "policy")
+    return policy.null_controls(rows.drop("accepted", "decision"), cover, "policy", "id")
 
 
 @query(

@@ -28,7 +28,7 @@ def test_ridge_equals_normal_equations(rows):
 
 def test_logistic_reaches_the_optimum(rows):
     pdf = rows.toPandas()
-    for r in grouped.fit_logistic(rows, ["symbol"], ["a", "b"], "y", l2=1.0, rounds=7).collect():
+    for r in grouped.fit_logistic(rows, ["symbol"], ["a", "b"], "y", l2=1.0).collect():
         g = pdf[pdf.symbol == r["symbol"]]
         x = np.column_stack([np.ones(len(g)), g.a, g.b])
         b = np.array(r["weights"])

@@ -153,7 +153,7 @@ def test_bootstrap_interval(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(1.0, 2.0, 300)
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id int, v double")
-    r = metrics.bootstrap_mean(df, "v").first()
+    r = metrics.bootstrap_mean(df, "v", "id").first()
     assert r["mean"] == pytest.approx(x.mean())
     assert r["se"] == pytest.approx(x.std(ddof=1) / np.sqrt(300), rel=0.15)
     assert r["ci_lower"] < r["mean"] < r["ci_upper"]
@@ -162,7 +162,14 @@ def test_bootstrap_interval(spark):
 
 def test_random_acceptance_keeps_coverage(scored):
     cover = scored.select("k").distinct().withColumn("coverage", F.lit(0.4))
-    rows = policy.null_controls(scored, cover, "k").where("k = 'hot'").collect()
+    rows = policy.null_controls(scored, cover, "k", "seq").where("k = 'hot'").collect()
     share = {r["control"]: r["coverage"] for r in rows}
     assert share["always_accept"] == 1 and share["always_abstain"] == 0
     assert share["random_accept"] == pytest.approx(0.4, abs=0.05)
+
+
+def test_bootstrap_of_equal_rows(spark):
+    """Units with equal values draw apart: five distinct values have the error of 500 units."""
+    df = spark.createDataFrame([(i, float(i % 5)) for i in range(500)], "id int, v double")
+    r = metrics.bootstrap_mean(df, "v", "id").first()
+    assert r["se"] == pytest.approx(np.sqrt(2.0 / 500), rel=0.15)

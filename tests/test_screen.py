@@ -96,3 +96,12 @@ def test_opposite_bounds_are_different_requests(spark):
     cards = cards.withColumns({f"ret{n}d": F.lit(1.0) for n in screen.RETURN_DAYS} | {"categories": F.array().cast("array<string>")})
     got = {(r["id"], r["symbol"]) for r in screen.screen(req, cards).collect()}
     assert got == {(1, "cheap"), (2, "dear")}
+
+
+def test_phrases_of_any_length_and_underscores(spark):
+    messages = spark.createDataFrame(
+        [(1, "Is Bank of the Great Big North Limited a buy?"), (2, "what about acme_corp"), (3, "and Acme Corp, today")], "id long, text string"
+    )
+    names = spark.createDataFrame([("bank of the great big north limited", "BIG"), ("acme corp", "ACME")], "phrase string, symbol string")
+    found = intents.mentions(messages, spark.createDataFrame([("ZZZ",)], "symbol string"), names)
+    assert {r["id"]: r["symbols"] for r in intents.mention_lists(found).collect()} == {1: ["BIG"], 3: ["ACME"]}

@@ -70,25 +70,24 @@ def top_holders(rows: DataFrame, limit: int = 10) -> DataFrame:
     return clean.withColumn("rank", F.row_number().over(by_size)).where(F.col("rank") <= limit)
 
 
-def category(label) -> Column:
+def categories(label) -> Column:
+    """All categories whose words a row's label holds."""
     text = F.lower(squeeze(label))
-    out = None
-    for name, words in LABELS.items():
-        out = F.when(has_any(text, words), name) if out is None else out.when(has_any(text, words), name)
-    return out
+    return F.array_compact(F.array(*[F.when(has_any(text, words), name) for name, words in LABELS.items()]))
 
 
-def quarterly_shareholding(wide: DataFrame, label: str, quarters: list[str]) -> DataFrame:
+def quarterly_shareholding(wide: DataFrame, label: str, quarters: list[str], position: str) -> DataFrame:
     """Rows = categories, columns = quarters  ->  rows = quarters, columns = categories.
 
-    Only symbols whose table carries promoter, FII, DII and public rows are kept.
+    A category takes the first row of the table, by ``position``, whose label names it; one row may
+    serve several. Only symbols whose table carries promoter, FII, DII and public rows are kept.
     """
-    tagged = wide.withColumn("category", category(label)).where(F.col("category").isNotNull())
-    long = tagged.unpivot(["symbol", "category", label], quarters, "quarter", "text")
+    tagged = wide.withColumn("category", F.explode(categories(label)))
+    long = tagged.unpivot(["symbol", "category", position], quarters, "quarter", "text")
     table = (
         long.groupBy("symbol", "quarter")
         .pivot("category", list(LABELS))
-        .agg(F.min_by(format_percent("text"), label))
+        .agg(F.min_by(format_percent("text"), position))
     )
     needed = ["promoter", "fii", "dii", "public"]
     return table.dropna(subset=needed)

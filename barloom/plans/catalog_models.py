@@ -433,9 +433,10 @@ def _(spark, sf):
     f = f.where("fold >= 0")
     own = grouped.out_of_fold(p, f, rs.FEATURES, "up", ["symbol"], "ridge").select("symbol", "date", "fold", "prob", F.col("up").alias("y"))
     pool = grouped.out_of_fold(p, f, rs.FEATURES, "up", [], "ridge").select("symbol", "date", F.col("prob").alias("q"))
-    rows = materialize(own.join(pool, ["symbol", "date"]).where("y IS NOT NULL").withColumn("seed", F.col("fold") % 2), "matched")
+    rows = materialize(own.join(pool, ["symbol", "date"]).where("y IS NOT NULL"), "matched")
     d = metrics.auc_deltas(rows, ["symbol"], "q", "prob")
     folds = metrics.auc_deltas(rows, ["fold"], "q", "prob")
-    seeds = metrics.auc_deltas(rows, ["seed"], "q", "prob")
+    # Ridge draws nothing at random, so the seeds' gate sees one seed, which is never enough.
+    seeds = metrics.auc_deltas(rows.withColumn("seed", F.lit(0)), ["seed"], "q", "prob")
     row = one_row(ranking.median(d, [], "delta", "median_delta"), metrics.win_loss(d), metrics.robustness(folds, seeds))
     return policy.pooled_verdict(row)

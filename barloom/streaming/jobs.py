@@ -58,14 +58,20 @@ def append_log(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-STATE = "n long, close double, ema12 double, ema26 double, signal double, gain double, loss double"
+STATE = "n long, day date, close double, ema12 double, ema26 double, signal double, gain double, loss double"
 OUTPUT = "symbol string, date date, close double, macd double, macd_signal double, rsi double"
 
 
 def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Carry the recursive means of one symbol over the rows of a micro-batch."""
+    """Carry the recursive means of one symbol over the rows of a micro-batch.
+
+    The means depend on the order of dates. A batch is sorted; one that brings a date the state
+    has passed already fails, for its values could only be wrong.
+    """
     rows = pd.concat(list(batches)).sort_values("date")
-    n, last, e12, e26, sig, gain, loss = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+    n, day, last, e12, e26, sig, gain, loss = state.get if state.exists else (0, None, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+    if day is not None and rows["date"].iloc[0] <= day:
+        raise ValueError(f"{key[0]}: bar of {rows['date'].iloc[0]} after that of {day}")
     out = []
     for close in rows["close"]:
         step = close - last if n else 0.0
@@ -82,14 +88,15 @@ def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
         sig = macd if n == 0 else sig + (macd - sig) * 2 / 10
         out.append((macd, sig, 100 - 100 / (1 + gain / loss) if loss > 0 else None))
         n, last = n + 1, close
-    state.update((n, last, e12, e26, sig, gain, loss))
+    state.update((n, rows["date"].iloc[-1], last, e12, e26, sig, gain, loss))
     made = pd.DataFrame(out, columns=["macd", "macd_signal", "rsi"], index=rows.index)
     yield pd.concat([rows[["symbol", "date", "close"]], made], axis=1)
 
 
 def running_indicators(bar_stream: DataFrame) -> DataFrame:
-    """MACD and RSI with seven numbers of state per symbol. A micro-batch brings a
-    symbol's new bars, so its size is the trigger's, not the history's."""
+    """MACD and RSI with a few numbers of state per symbol. A micro-batch brings a symbol's
+    new bars, so its size is the trigger's, not the history's. Bars have to come in order of
+    dates, batch by batch; a late bar stops the stream."""
     return (
         bar_stream.select("symbol", "date", "close")
         .groupBy("symbol")

@@ -105,3 +105,13 @@ def test_phrases_of_any_length_and_underscores(spark):
     names = spark.createDataFrame([("bank of the great big north limited", "BIG"), ("acme corp", "ACME")], "phrase string, symbol string")
     found = intents.mentions(messages, spark.createDataFrame([("ZZZ",)], "symbol string"), names)
     assert {r["id"]: r["symbols"] for r in intents.mention_lists(found).collect()} == {1: ["BIG"], 3: ["ACME"]}
+
+
+def test_first_row_of_a_category_counts(spark):
+    rows = [
+        ("A", 1, "Promoters +", "50%"), ("A", 2, "Promoter Group (sub)", "10%"), ("A", 3, "FIIs / FPI", "20%"),
+        ("A", 4, "DIIs", "15%"), ("A", 5, "Public", "15%"),
+    ]
+    wide = spark.createDataFrame(rows, "symbol string, row int, label string, `Mar 2024` string")
+    got = holdings.quarterly_shareholding(wide, "label", ["Mar 2024"], "row").first()
+    assert got["promoter"].startswith("50")

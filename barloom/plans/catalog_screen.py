@@ -767,7 +767,14 @@ def _(spark, sf):
     return policy.band_coverage(p.where("fold = 3"), policy.conformal_band(p.where("fold < 3"), ["symbol"]), ["symbol"])
 
 
-@query("null_controls", "policy, control, n:i, n_accepted:i, accuracy:6")
+@query(
+    "null_controls",
+    "policy, control, n:i, n_accepted:i, accuracy:6",
+    """SELECT policy, control, count(*) AS n, count(*) FILTER (taken) AS n_accepted, avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0 END) FILTER (taken) AS accuracy FROM (
+  SELECT policy, p, y, control, CASE control WHEN 'always_accept' THEN true WHEN 'always_abstain' THEN false
+    ELSE CAST(CAST('0x' || substr(md5('17:' || policy || ':' || id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 < coverage END AS taken
+  FROM q_sel JOIN (SELECT policy, coverage FROM q_selp) USING (policy), (VALUES ('always_accept'), ('always_abstain'), ('random_accept')) k(control)) GROUP BY policy, control""",
+)
 def _(spark, sf):
     rows = selected(spark, sf)
     cover = policy.selective_metrics(rows, ["policy"]).select("policy", "coverage")

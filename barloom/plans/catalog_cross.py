@@ -145,13 +145,12 @@ def _(spark, sf):
     """SELECT w.symbol, w.date, m.sector FROM weekly w LEFT JOIN (
   SELECT p_brand AS symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS date,
     arg_max(p_type, struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey)) AS sector
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_tax > 0.06 GROUP BY 1, 2) m ON m.symbol = w.symbol AND m.date = w.date""",
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) m ON m.symbol = w.symbol AND m.date = w.date""",
 )
 def _(spark, sf):
     part = v.table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("symbol"), F.col("p_type").alias("sector"))
     dated = (
         v.table(spark, sf, "lineitem")
-        .where("l_tax > 0.06")
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .withColumn("date", F.trunc("l_shipdate", "week"))
     )

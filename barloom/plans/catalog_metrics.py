@@ -664,15 +664,15 @@ def _(spark, sf):
 )
 def _(spark, sf):
     p = by_customer(spark, sf)
-    live = metrics.scorecard(p.where("date >= DATE '1999-06-01'"), ["symbol"]).select("symbol", "n", "brier", "ece")
-    old = metrics.scorecard(p.where("date < DATE '1995-06-01'"), ["symbol"]).select(
+    live = metrics.scorecard(p.where("date >= DATE '1996-01-01'"), ["symbol"]).select("symbol", "n", "brier", "ece")
+    old = metrics.scorecard(p.where("date < DATE '1996-01-01'"), ["symbol"]).select(
         "symbol", F.col("brier").alias("ref_brier"), F.col("ece").alias("ref_ece")
     )
     return drift.calibration_status(live, old)
 
 
-sql_view("q_live", "SELECT * EXCLUDE (symbol, fine), fine AS symbol FROM q_fine WHERE date >= DATE '1999-06-01'")
-sql_view("q_old", "SELECT * EXCLUDE (symbol, fine), fine AS symbol FROM q_fine WHERE date < DATE '1995-06-01'")
+sql_view("q_live", "SELECT * EXCLUDE (symbol, fine), fine AS symbol FROM q_fine WHERE date >= DATE '1996-01-01'")
+sql_view("q_old", "SELECT * EXCLUDE (symbol, fine), fine AS symbol FROM q_fine WHERE date < DATE '1996-01-01'")
 
 
 # ---- ledger --------------------------------------------------------------------------

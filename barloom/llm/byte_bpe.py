@@ -14,6 +14,8 @@ import tiktoken
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from barloom.llm.common import ship
+
 RANKS = "byte_bpe_50k.tiktoken"
 PIECE = 1 << 16
 # No match of the pattern runs from a letter or digit over a following blank or line end.
@@ -48,6 +50,7 @@ def encode(text: str | None, path: str, size: int = PIECE) -> bytes:
 def encoded(text: Column, path: str | None = None, size: int = PIECE) -> Column:
     """Column of packed identifiers of whole texts, four bytes each; null and empty texts have none."""
     path = path or public_tokenizers.path(RANKS)
+    ship()
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -60,6 +63,7 @@ def encoded(text: Column, path: str | None = None, size: int = PIECE) -> Column:
 def decoded(ids: Column, path: str | None = None) -> Column:
     """Column of the raw bytes that packed identifiers stand for; null gives no bytes."""
     path = path or public_tokenizers.path(RANKS)
+    ship()
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -29,9 +29,9 @@ def remainder(id_col: str | Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % modulus, F.lit(-1))
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the workers this package, wherever the driver was started."""
-    sc = spark.sparkContext
+def ship() -> None:
+    """Give the workers of the active session this package, wherever the driver was started."""
+    sc = SparkSession.active().sparkContext
     if getattr(sc, "_barloom_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -1,7 +1,7 @@
 """Quality classifier by co-training of a text view and a page-metadata view.
 
-Both views are count models over hashed features: byte trigrams of the text, and the page's source,
-language and length. They are fitted on a bounded sample of labelled rows. In each round either view
+Both views are count models over hashed features: trigrams of the text's bytes and of their kinds, and
+the page's source, language and length. They are fitted on a bounded sample of labelled rows. In each round either view
 labels all other documents where its calibrated probability is confident, and those pseudo-labels
 join the other view's counts. At last both views are calibrated on sample rows that no fit has seen
 and a logistic combination of the two scores every document.
@@ -17,51 +17,74 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import ship
 from barloom.session import materialize
 
 SIZE = 1 << 16
+HALF = SIZE >> 1
 LABELLED = 20_000
 FEW = 50
+DRAWN = 4.0
 REPEATS = 32
 META = ("source", "lang", "n_chars")
 
 
+def _shapes() -> np.ndarray:
+    """Bytes by kind: letters small and large, digits and blanks are one each, other signs stay."""
+    out = np.arange(256, dtype=np.uint32)
+    out[128:] = out[97:123] = 97
+    out[65:91] = 65
+    out[48:58] = 48
+    out[[9, 11, 12, 13]] = 32
+    return out
+
+
+SHAPES = _shapes()
+
+
 class Trigrams:
-    """Distinct hashed byte trigrams of texts, and some features for how often they repeat at the text's length."""
+    """Distinct hashed byte trigrams of texts, below ``HALF``; above it, trigrams of the bytes' kinds, and
+    some features for how often trigrams repeat at the text's length."""
 
     def __init__(self):
         self.seen = np.zeros(SIZE, bool)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        b = np.frombuffer((text or "").encode(), np.uint8).astype(np.uint32)
+        b = np.frombuffer((text or "").encode(), np.uint8)
         if len(b) < 3:
             return np.empty(0, np.int64)
-        key = ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(16)
-        self.seen[key] = True
+        keys = []
+        for x in (b.astype(np.uint32), SHAPES[b]):
+            keys.append(((x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * np.uint32(2654435761)) >> np.uint32(17))
+        self.seen[keys[0]] = True
+        self.seen[keys[1] + HALF] = True
         out = np.flatnonzero(self.seen)
-        self.seen[key] = False
+        self.seen[keys[0]] = False
+        self.seen[keys[1] + HALF] = False
         repeats = int(2 * np.log2(len(b) / len(out)))
         first = zlib.crc32(f"{len(b).bit_length()}:{repeats}".encode())
-        return np.concatenate((out, (first + np.arange(REPEATS) * 2654435761) % SIZE))
+        return np.concatenate((out, HALF + (first + np.arange(REPEATS) * 2654435761) % HALF))
 
 
 def meta_features(source, lang, n_chars) -> list[int]:
     """Hashed page features; the length counts by powers of two, and unknown is a value of its own."""
     length = "?" if n_chars is None or n_chars != n_chars else int(n_chars).bit_length()
-    return [zlib.crc32(f"{k}={v}".encode()) % SIZE for k, v in (("source", source), ("lang", lang), ("length", length))]
+    return [zlib.crc32(f"{k}={v}".encode()) % HALF for k, v in (("source", source), ("lang", lang), ("length", length))]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weights of the columns of ``x`` and a constant, by Newton's method until they stand still."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, toward: float = 0.0) -> np.ndarray:
+    """Weights of the columns of ``x``, drawn ``toward`` a value, and a constant, by Newton's method until they stand still."""
     x = np.column_stack((x, np.ones(len(x))))
     w = np.zeros(x.shape[1])
     rate = (y.sum() + 1) / (len(y) + 2)
     w[-1] = np.log(rate / (1 - rate))
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
+    middle = np.full(len(w), toward)
+    middle[-1] = 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty) + 1e-9 * np.eye(len(w)), x.T @ (p - y) + penalty * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty) + 1e-9 * np.eye(len(w)), x.T @ (p - y) + penalty * (w - middle))
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -73,14 +96,20 @@ class View:
 
     def __init__(self, counts: np.ndarray):
         bad, good, n_bad, n_good = counts[:SIZE], counts[SIZE : 2 * SIZE], counts[-2], counts[-1]
-        self.weights = np.log((good + 0.5) / (n_good + 1)) - np.log((bad + 0.5) / (n_bad + 1))
-        self.weights[(good + bad) == 0] = 0.0
-        self.center = float(((good + bad) * self.weights).sum() / max((good + bad).sum(), 1.0))
+        # Drawn to the classes' shares, so that a feature without evidence says nothing.
+        share = (np.array([n_bad, n_good]) + 1) / (n_bad + n_good + 2)
+        self.weights = np.log((good + DRAWN * share[1]) / (bad + DRAWN * share[0]) * share[0] / share[1])
+        seen = good + bad
+        self.center = [float((seen[k] * self.weights[k]).sum() / max(seen[k].sum(), 1.0)) for k in (slice(HALF), slice(HALF, None))]
         self.line = np.array([1.0, 0.0])
 
     def raw(self, features) -> float:
-        """Mean ratio; the fewer the features, the nearer to that of all rows."""
-        return float((self.weights[features].sum() + FEW * self.center) / (len(features) + FEW))
+        """Mean ratio of the lower and of the upper features; the fewer, the nearer to that of all rows."""
+        at = np.asarray(features, np.int64)
+        low = at[at < HALF]
+        high = at[at >= HALF]
+        pairs = zip((low, high), self.center, strict=True)
+        return float(sum((self.weights[x].sum() + FEW * c) / (len(x) + FEW) for x, c in pairs))
 
     def calibrate(self, scores: np.ndarray, y: np.ndarray) -> None:
         self.line = fit_logistic(scores[:, None], y)
@@ -149,6 +178,7 @@ def train(
     Repeated labels of a row count as their smallest; labels that are null or not 0 or 1 are none.
     Without labels of both classes all documents score alike. A fifth of the sample only calibrates.
     """
+    ship()
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     known = known.where("doc_id is not null and y in (0, 1)")
@@ -202,12 +232,14 @@ def train(
 
         more = _counts(others, exchanged)
         text, page, t, m, y = calibrated([a + b for a, b in zip(first, more, strict=True)])
-    weights = fit_logistic(np.column_stack((text.logit(t), page.logit(m))), y) if len(y) else np.zeros(3)
+    # Views that know nothing of each other add up, so that is what few rows are drawn to.
+    weights = fit_logistic(np.column_stack((text.logit(t), page.logit(m))), y, 20.0, 1.0) if len(y) else np.zeros(3)
     return Classifier(text, page, weights)
 
 
 def quality(spark, model: Classifier, docs: DataFrame, text_col: str = "text", meta: tuple[str, str, str] = META) -> Column:
     """Struct (score, text_score, page_score) of a row's whole text and metadata; unknown metadata is a value."""
+    ship()
     held = spark.sparkContext.broadcast(model)
     kinds = ("string", "string", "double")
     inputs = [F.col(c).cast(k) if c in docs.columns else F.lit(None).cast(k) for c, k in zip(meta, kinds, strict=True)]

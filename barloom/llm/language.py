@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.llm.common import ship
+
 SIZES = (1, 2, 3)
 TOP = 300
 UNKNOWN = "und"
@@ -103,6 +105,7 @@ def learn(
     hash of the identifier; n-grams are counted on the workers and only ``top`` keys per language
     come back. Rows without text or language teach nothing; an empty table gives no profiles.
     """
+    ship()
     rows = docs.select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(key_col).alias("key")
     ).where("lang is not null and text is not null")
@@ -135,6 +138,7 @@ def learn(
 
 def identify(spark: SparkSession, profiles: Profiles, text: Column) -> Column:
     """Struct (lang, score) of a whole text; null and texts without a letter are ``und`` with score 0."""
+    ship()
     held = spark.sparkContext.broadcast(profiles)
 
     @F.pandas_udf("lang string, score double")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import pair, spread
+from barloom.llm.common import pair, ship, spread
 from barloom.llm.word_bpe import default_path, words
 from barloom.session import materialize
 
@@ -33,6 +33,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
     integers. Null and empty texts are the end alone; repeated rows are documents of their own.
     """
     path = path or default_path()
+    ship()
     tail = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,6 +179,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = 200_000) ->
     The table should be cheap to read twice (a written one). Pieces of one length are interchangeable;
     they are ranked in hashed parts, so a length that most pieces share is ranked by many tasks.
     """
+    ship()
     counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}
     parts = spread(sum(counts.values()), per_task, 8)
     held = items.sparkSession.sparkContext.broadcast(_places(plan(counts, capacity)))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import connected, pair
+from barloom.llm.common import connected, pair, ship
 from barloom.session import materialize
 
 BITS = 3
@@ -55,6 +55,7 @@ def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 def fingerprint(text: Column, width: int = 3, seed: int = 42) -> Column:
     """Fingerprint of whole texts as a signed long."""
+    ship()
 
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -111,6 +112,7 @@ def compare(keys: np.ndarray, fps: np.ndarray, bits: int = BITS) -> tuple[np.nda
 
 def _links(entries: DataFrame, limit: int, label: str) -> DataFrame:
     """Rows (a, b, null) of links and (fp, null, key) of lists over the limit; written."""
+    ship()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from barloom.llm.common import ship
 from barloom.llm.word_bpe import default_path, words
 
 
@@ -18,6 +19,7 @@ def token_count(text: Column, path: str | None = None) -> Column:
     calls of equal bytes, so a very long text costs no larger call than short ones.
     """
     path = path or default_path()
+    ship()
 
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

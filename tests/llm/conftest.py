@@ -1,6 +1,5 @@
 import pytest
 
-from barloom.llm.common import ship
 from barloom.session import local_session
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, fp string, component_id string, piece string"
@@ -16,7 +15,6 @@ ODD = [
 def spark():
     s = local_session("barloom-tests", "4", 4)
     s.sparkContext.setLogLevel("OFF")
-    ship(s)
     return s
 
 

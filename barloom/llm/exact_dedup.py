@@ -21,8 +21,12 @@ from pyspark.sql.types import StructType
 from barloom.session import materialize, shared_folder
 
 BLANKS = r"[\x20\x09-\x0D]+"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Many small stores: no space is allocated ahead, and a commit writes its changes, not a whole store.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 HIT_BROADCAST = 200_000
 
 
@@ -47,12 +51,14 @@ def arrivals(docs: DataFrame, digest: Callable[[Column], Column] = sha256, id_co
 
 @contextmanager
 def rocksdb(spark: SparkSession):
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def ingest(spark: SparkSession, log: str, schema: StructType, state: str, files_per_batch: int = 1000) -> None:
@@ -61,9 +67,8 @@ def ingest(spark: SparkSession, log: str, schema: StructType, state: str, files_
     # Known identifiers come before unknown ones.
     key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "seat", "locator")
     kept = stream.groupBy("digest").agg(F.min(key).alias("keeper"), F.count("*").alias("arrived"))
-    with rocksdb(spark):
-        job = kept.writeStream.format("noop").outputMode("update").option("checkpointLocation", state)
-        job.trigger(availableNow=True).start().awaitTermination()
+    job = kept.writeStream.format("noop").outputMode("update").option("checkpointLocation", state)
+    job.trigger(availableNow=True).start().awaitTermination()
 
 
 def entries(spark: SparkSession, state: str) -> DataFrame:
@@ -93,13 +98,14 @@ def deduplicate(
     text_col: str = "text",
     digest: Callable[[Column], Column] = sha256,
     files_per_batch: int = 1000,
+    broadcast_up_to: int = HIT_BROADCAST,
 ) -> DataFrame:
     """(doc_id, digest, keep_id, group_size, kept) of every row.
 
     Rows with equal normalised texts are a group and the smallest identifier stays; null texts equal
     empty ones, an unknown identifier stays only in a group without any other. Of rows that repeat an
     identifier and text one is kept. An empty table gives no rows. List of hit digests: broadcast up
-    to ``HIT_BROADCAST`` entries, else joined by a shuffle.
+    to ``broadcast_up_to`` entries, else joined by a shuffle.
     """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/exact-{uuid.uuid4().hex}"
@@ -108,10 +114,11 @@ def deduplicate(
     came = spark.read.schema(log.schema).parquet(f"{folder}/log")
     if came.isEmpty():
         return came.select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    ingest(spark, f"{folder}/log", log.schema, f"{folder}/state", files_per_batch)
-    state = materialize(entries(spark, f"{folder}/state"), "state")
+    with rocksdb(spark):
+        ingest(spark, f"{folder}/log", log.schema, f"{folder}/state", files_per_batch)
+        state = materialize(entries(spark, f"{folder}/state"), "state")
     hits = state.where("group_size > 1").select("digest")
-    few = hits.count() <= HIT_BROADCAST
+    few = hits.count() <= broadcast_up_to
     # Grouped by the text itself: copies are combined before the shuffle, and equal keys are compared byte by byte.
     seen = _texts(docs, hits, few, digest, id_col, text_col).groupBy("text").agg(F.first("digest").alias("digest"))
     clashing = materialize(seen.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "clashing")

@@ -43,7 +43,7 @@ def test_exact_odd_rows(odd):
 def test_exact_in_several_batches(spark):
     rng = random.Random(1)
     rows = [(i, "hot" if i % 3 == 0 else f"t {rng.randrange(40)}") for i in range(300)]
-    check_exact(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), files_per_batch=2)
+    check_exact(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), files_per_batch=2, broadcast_up_to=0)
 
 
 def test_exact_clashing_digests_are_told_apart_by_bytes(spark):

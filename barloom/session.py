@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def local_session(app: str = "barloom", cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -47,5 +49,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     statistics keep working on it, and losing an executor costs nothing.
     """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``materialize`` writes inside are deleted at the end, so results have to be
+    collected or written by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[before:]:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        del _written[before:]

@@ -9,7 +9,7 @@ import time
 
 from barloom.plans import load_catalog
 from barloom.plans.registry import CATALOG
-from barloom.session import local_session
+from barloom.session import local_session, scratch
 
 HEADLINE = [
     "trend_screen",
@@ -56,7 +56,8 @@ def main() -> None:
     seconds = {}
     for name in names:
         start = time.time()
-        CATALOG[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        with scratch(spark):
+            CATALOG[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
     print(
         json.dumps(

@@ -1,21 +1,25 @@
 """Encoding with a word-level BPE file: every blank is a safe boundary, so words are encoded once.
 
 The tokenizer drops white space before merging and none of its special strings holds a blank. A
-text's tokens are therefore those of its words in order. Words of a batch not met before go to the
-library together, in calls of about equal bytes; a worker remembers a bounded number of words.
+text's tokens are therefore those of its words in order, and so is the place between an ASCII letter
+and another ASCII character that is none. Parts of a batch not met before go to the library together,
+in calls of about equal bytes; words of letters share a text, whose word ends tell them apart. A
+worker remembers a bounded number of parts.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 
 VOCABULARY = "word_bpe_49k.json"
-CALL_BYTES = 1 << 18
-REMEMBERED = 600_000
+CALL_BYTES = 1 << 16
+REMEMBERED = 800_000
 
 
 @lru_cache(maxsize=2)
@@ -30,6 +34,37 @@ def default_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+@lru_cache(maxsize=2)
+def _merger(path: str):
+    """The same vocabulary and merges for words that are lower-case letters already."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    bare = Tokenizer(tokenizer(path).model)
+    bare.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    return bare
+
+
+@lru_cache(maxsize=2)
+def _closing(path: str) -> np.ndarray:
+    """For each identifier, whether it ends a word."""
+    vocabulary = tokenizer(path).get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+    return out
+
+
+# A run of letters ends before any other ASCII character.
+_EDGE = re.compile(rb"(?<=[a-z])(?=[\x21-\x40\x5b-\x60\x7b-\x7e])")
+
+
+def parts_of(text: str | None) -> list[bytes]:
+    """A text's parts: cut at blanks and, where no special string can be, lower-cased and cut after ASCII letters."""
+    b = (text or "").encode()
+    return b.split() if b"<|" in b else _EDGE.sub(b" ", b.lower()).split()
+
+
 class Words:
     """Words' token counts, or their identifiers packed as little-endian unsigned 32-bit integers."""
 
@@ -38,33 +73,58 @@ class Words:
         self.known: dict[bytes, object] = {}
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > self.remembered:
+        if len(self.known) > self.remembered:
             self.known = {w: self.known[w] for w in words if w in self.known}
-        call: list[bytes] = []
-        held = 0
-        for w in words:
-            if w not in self.known:
-                call.append(w)
-                held += len(w)
-                if held >= self.call_bytes:
-                    self._call(call)
-                    call, held = [], 0
+        new = words - self.known.keys()
+        self._call([w for w in new if w.isalpha() or self._letters(w)], self._together)
+        self._call([w for w in new if w not in self.known], self._apart)
+
+    @staticmethod
+    def _letters(part: bytes) -> bool:
+        """Whether a part is letters that neither composition nor case changes further, apart from single letters' case."""
+        text = part.decode()
+        low = text.lower()
+        return text.isalpha() and low.isalpha() and "\u03a3" not in text and unicodedata.is_normalized("NFC", text)
+
+    def _call(self, parts: list[bytes], encode) -> None:
+        """The library's calls get about equal bytes."""
+        call, held = [], 0
+        for p in parts:
+            call.append(p)
+            held += len(p) + 1
+            if held >= self.call_bytes:
+                encode(call)
+                call, held = [], 0
         if call:
-            self._call(call)
-
-    def _call(self, call: list[bytes]) -> None:
-        found = tokenizer(self.path).encode_batch_fast([w.decode() for w in call], add_special_tokens=False)
-        for w, e in zip(call, found, strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes() if self.packed else len(e)
+            encode(call)
+
+    def _together(self, parts: list[bytes]) -> None:
+        """Words of letters as one text; each gives one run of identifiers up to a word's end."""
+        text = b" ".join(parts).decode().lower()
+        ids = np.array(_merger(self.path).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(_closing(self.path)[ids]) + 1
+        if len(ends) != len(parts):
+            return
+        if self.packed:
+            data, at = ids.tobytes(), 0
+            for p, end in zip(parts, (4 * ends).tolist(), strict=True):
+                self.known[p] = data[at:end]
+                at = end
+        else:
+            self.known.update(zip(parts, np.diff(ends, prepend=0).tolist(), strict=True))
+
+    def _apart(self, parts: list[bytes]) -> None:
+        found = tokenizer(self.path).encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
+        for p, e in zip(parts, found, strict=True):
+            self.known[p] = np.array(e.ids, "<u4").tobytes() if self.packed else len(e)
 
     def split(self, texts, step: int = 1 << 20):
         """Texts' words, some texts at a time so that words to remember stay bounded."""
         group: list[list[bytes]] = []
         size = 0
         for t in texts:
-            b = (t or "").encode()
-            group.append(b.split())
-            size += len(b)
+            group.append(parts_of(t))
+            size += len(t or "")
             if size >= step:
                 self.learn(set().union(*group))
                 yield from group

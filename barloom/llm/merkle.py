@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 SPAN = 48
 PARAGRAPH = r"(?<=\n)"
-# A span ends after a stop and blank, at a line's end, or at its greatest length.
-SPANS = rf"(?s)(?:[^.!?,;|\n]|[.!?,;|](?!\s)){{0,{SPAN - 2}}}+(?:[.!?,;|]\s|\n|.|\z)"
+# A span ends after a stop, at a line's end, or at its greatest length.
+SPANS = rf"(?s)[^.!?,;|\n]{{0,{SPAN - 1}}}+(?:.|\z)"
 # A digest that starts with 0 or 1 ends its section.
 SECTION = r"(?<=\b[01][0-9a-f]{63}) "
 MOST_BUCKETS = 1 << 15
@@ -24,7 +24,8 @@ MOST_BUCKETS = 1 << 15
 def _span_list(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(SPANS), F.lit(0))
     full = F.filter(found, lambda s: s != "")
-    return F.transform(full, lambda s: F.struct(F.xxhash64(s).alias("h"), F.char_length(s).alias("n")))
+    high = F.lit(-64).cast("long")
+    return F.transform(full, lambda s: F.xxhash64(s).bitwiseAND(high).bitwiseOR(F.char_length(s).cast("long")))
 
 
 def tree(text: Column) -> Column:
@@ -38,7 +39,7 @@ def tree(text: Column) -> Column:
 
 
 def spans(text: Column) -> Column:
-    """Distinct spans of a text as (hash, length); null counts as empty."""
+    """Distinct spans of a text as numbers, a hash above six bits of length; null counts as empty."""
     return F.array_distinct(_span_list(F.coalesce(text, F.lit(""))))
 
 
@@ -46,7 +47,7 @@ def likeness(a: Column, b: Column, same: Column) -> Column:
     """Share of the two trees' characters under equal spans, 0 to 1; equal roots give 1."""
 
     def weight(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0).cast("long"), lambda acc, s: acc + s["n"])
+        return F.aggregate(x, F.lit(0).cast("long"), lambda acc, s: acc + s.bitwiseAND(F.lit(63).cast("long")))
 
     both, total = weight(F.array_intersect(a, b)), weight(a) + weight(b)
     return F.when(same, 1.0).otherwise(F.coalesce(F.try_divide(both * 2.0, total), F.lit(0.0)))

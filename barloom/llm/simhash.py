@@ -29,23 +29,29 @@ LIMIT = 2048
 TRIPLES = [t for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for t in combinations(half, 3)]
 
 
-def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """Unsigned fingerprint of the lower-cased word shingles; no words give 0, fewer than ``width`` one shingle."""
+def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> np.ndarray:
+    """Hashes of the lower-cased word shingles in order; no words give none, fewer than ``width`` one."""
     found = (text or "").encode().lower().split()
     if not found:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(found)
     if len(found) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
-    else:
-        ends = np.cumsum([len(w) + 1 for w in found])
-        starts = np.concatenate(([0], ends[:-1]))
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter(
-            (digest(joined[a:b], seed) for a, b in zip(starts[: len(found) - width + 1].tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)),
-            np.uint64,
-            len(found) - width + 1,
-        )
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in found])
+    starts = np.concatenate(([0], ends[:-1]))
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter(
+        (digest(joined[a:b], seed) for a, b in zip(starts[: len(found) - width + 1].tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)),
+        np.uint64,
+        len(found) - width + 1,
+    )
+
+
+def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """Unsigned fingerprint of the lower-cased word shingles; no words give 0, fewer than ``width`` one shingle."""
+    hashes = shingle_hashes(text, width, seed)
+    if not len(hashes):
+        return 0
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, simhash
+import corpus_pipeline
+from barloom.llm import exact_dedup, jaccard, simhash
 from barloom.llm.common import connected
 from tests.llm import helpers
 
@@ -119,3 +120,50 @@ def test_connected_chain_and_star(spark):
 
 def test_near_empty(none):
     assert simhash.near_duplicates(none).count() == 0
+
+
+def alike(rows):
+    """Smallest doc_id reachable over pairs of 5-word Jaccard similarity 0.8 and more."""
+    sets = []
+    for _, t in rows:
+        w = helpers.words(t)
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    par = list(range(len(rows)))
+
+    def find(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                a, b = sorted((find(i), find(j)))
+                par[b] = a
+    lowest = {}
+    for k, (i, _) in enumerate(rows):
+        lowest[find(k)] = min([x for x in (lowest.get(find(k)), i) if x is not None], default=None)
+    return Counter((i, lowest[find(k)]) for k, (i, _) in enumerate(rows))
+
+
+def test_pipeline_near_copies(spark, odd, none):
+    """Copies with a replaced passage or scattered edits, around and over 0.8 and up to it, link as their sets say."""
+    rng = random.Random(4)
+    rows = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()]
+    for g in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(300)]
+        for k in range(12):
+            copy, n = list(base), rng.randrange(70)
+            if k % 2:
+                copy[100 : 100 + n] = [f"new{rng.randrange(10**9)}" for _ in range(n)]
+            else:
+                for _ in range(n // 10):
+                    copy[rng.randrange(300)] = f"new{rng.randrange(10**9)}"
+            rows.append((1000 + 100 * g + k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = alike(rows)
+    assert Counter((r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect()) == want
+    kept = {i for i, low in want if i == low}
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near(spark, docs, "").collect()} == kept
+    assert jaccard.near_duplicates(none).count() == 0

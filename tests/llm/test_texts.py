@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from barloom.llm import cotraining, language, merkle, pitman_yor, sharding
 from barloom.llm.common import remainder
 from tests.llm import helpers
@@ -34,6 +35,19 @@ def test_languages(spark, odd, none):
     assert odd.select(language.identify(spark, empty, F.col("text")).alias("j")).where("j.lang <> 'und'").count() == 0
 
 
+def test_pipeline_drops_texts_of_no_known_language(spark):
+    """Scripts no profile has and noise of letters go; clean texts, short ones too, stay."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k, (lang, text) in enumerate(SAMPLES.items()):
+        w = text.split()
+        rows += [(k * 100 + i, " ".join(w[(i * 7 + j * 3) % len(w)] for j in range(3 if i == 0 else 12)), lang) for i in range(40)]
+    noise = " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 7)) for _ in range(200))
+    bad = [(1000, "\u039a\u03b1\u03bb\u03b7\u03bc\u03ad\u03c1\u03b1 \u03ba\u03cc\u03c3\u03bc\u03b5", None), (1001, "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0", None), (1002, noise, None), (1003, "12 34", None)]
+    docs = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {r[0] for r in rows}
+
+
 def test_profile_distance_by_hand():
     own = language.ranked("aab", (1,), 5).tolist()
     assert len(own) == 2 and own[0] == language.ranked("a", (1,), 5)[0]

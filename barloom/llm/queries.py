@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.llm import byte_bpe, language, queries_more, sharding, token_counts  # noqa: F401
+from barloom.llm import byte_bpe, language, queries_codes, queries_more, sharding, token_counts  # noqa: F401
 from barloom.llm.common import pair, remainder, table
 from barloom.llm.registry import query
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +56,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def send_package(spark: SparkSession) -> None:
+    """Give the workers this package once a session, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_barloom_sent", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    # The driver serves the file as long as the session lives.
+    path = os.path.join(tempfile.mkdtemp(prefix="barloom-sent-"), "barloom-models.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(top):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(path)
+    sc._barloom_sent = True
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Tables that ``materialize`` writes inside are deleted at the end, so results have to be

@@ -10,6 +10,7 @@ ranks within their length to sequences; ranks and look-ups run on the workers.
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import pair, ship, spread
-from barloom.llm.word_bpe import default_path, words
+from barloom.llm.word_bpe import default_path, flat_words, words
 from barloom.session import materialize
 
 CAPACITY = 4096
@@ -53,6 +54,43 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
     return pair(docs).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids binary")
 
 
+STEP_BYTES = 1 << 20
+
+
+def spans(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): the ``pieces`` with the checksum of their identifiers instead of these.
+
+    Identifiers stay on the worker; only numbers leave it. Texts are encoded about a megabyte at a time.
+    """
+    path = path or default_path()
+    ship()
+    tail = np.array([end], "<u4")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, docs_of = batch["text"].tolist(), batch["doc_id"].tolist()
+            step = np.cumsum([len(t) for t in texts]) // STEP_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(texts)]
+            for at, to in zip(edges, edges[1:]):
+                ids, ends = flat_words(path).flat(texts[at:to])
+                rows = []
+                first = 0
+                for doc, last in zip(docs_of[at:to], ends.tolist(), strict=True):
+                    total = last - first + 1
+                    for k, start in enumerate(range(0, total, capacity)):
+                        length = min(capacity, total - start)
+                        crc = zlib.crc32(ids[first + start : min(first + start + length, last)])
+                        if start + length == total:
+                            crc = zlib.crc32(tail, crc)
+                        rows.append((doc, k, start, length, crc))
+                    first = last
+                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                out["doc_id"] = out["doc_id"].astype("Int64")
+                yield out
+
+    return pair(docs).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+
+
 def _dominating(left: np.ndarray, w: int, capacity: int) -> tuple[int, ...] | None:
     """A set with ``w`` that dominates every set holding it, or None."""
     room = capacity - w
@@ -209,7 +247,4 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = 200_000) ->
 
 def packed_spans(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all documents."""
-    cut = pieces(docs, capacity, end, path).select(
-        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
-    )
-    return pack(materialize(cut, "pieces"), capacity)
+    return pack(materialize(spans(docs, capacity, end, path), "pieces"), capacity)

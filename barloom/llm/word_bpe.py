@@ -13,6 +13,7 @@ import os
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -142,3 +143,78 @@ class Words:
 @lru_cache(maxsize=2)
 def words(path: str, packed: bool) -> Words:
     return Words(path, packed)
+
+
+class _Numbered(dict):
+    """Numbers parts as they come and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, part: bytes) -> int:
+        k = self[part] = len(self)
+        self.new.append(part)
+        return k
+
+
+class FlatWords(Words):
+    """Identifiers of texts as slices of one array: each part is looked up once, and known parts' identifiers lie in one array."""
+
+    def __init__(self, path: str, remembered: int = REMEMBERED, call_bytes: int = CALL_BYTES):
+        super().__init__(path, True, remembered, call_bytes)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = _Numbered()
+        self.store = np.empty(1 << 20, "<u4")
+        self.used = 0
+        self.first = np.zeros(1 << 16, np.int64)
+        self.size = np.zeros(1 << 16, np.int64)
+
+    def _keep(self, parts: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.store):
+            self.store = np.concatenate((self.store, np.empty_like(self.store)))
+        while len(self.known) > len(self.size):
+            self.first = np.concatenate((self.first, np.zeros_like(self.first)))
+            self.size = np.concatenate((self.size, np.zeros_like(self.size)))
+        at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        self.store[self.used : self.used + len(ids)] = ids
+        self.first[at] = self.used + np.cumsum(sizes) - sizes
+        self.size[at] = sizes
+        self.used += len(ids)
+
+    def _together(self, parts: list[bytes]) -> None:
+        text = b" ".join(parts).decode().lower()
+        ids = np.array(_merger(self.path).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(_closing(self.path)[ids]) + 1
+        if len(ends) == len(parts):
+            self._keep(parts, ids, np.diff(ends, prepend=0))
+        else:
+            self._apart(parts)
+
+    def _apart(self, parts: list[bytes]) -> None:
+        found = [e.ids for e in tokenizer(self.path).encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
+        self._keep(parts, np.array([i for ids in found for i in ids], "<u4"), np.array([len(ids) for ids in found], np.int64))
+
+    def flat(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' identifiers one after another, and where each text ends."""
+        if len(self.known) > self.remembered:
+            self._forget()
+        split = [parts_of(t) for t in texts]
+        n = np.array([len(p) for p in split], np.int64)
+        codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+        new, self.known.new = self.known.new, []
+        letters = [p.isalpha() or self._letters(p) for p in new]
+        self._call([p for p, yes in zip(new, letters, strict=True) if yes], self._together)
+        self._call([p for p, yes in zip(new, letters, strict=True) if not yes], self._apart)
+        sizes = self.size[codes]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        spot = np.repeat(self.first[codes] - ends[:-1], sizes)
+        spot += np.arange(len(spot))
+        return self.store[spot], ends[np.cumsum(n)]
+
+
+@lru_cache(maxsize=2)
+def flat_words(path: str) -> FlatWords:
+    return FlatWords(path)

@@ -10,52 +10,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+SPLITS = 256
+STRIDE = 16
 
 
-def unit_bucket(p: Column) -> Column:
-    """Bucket of a probability; monotone in ``p``."""
-    return F.least(F.greatest(F.floor(p * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1))
+def bucketed(counted: DataFrame, keys: list[str], value: str, splits: int = SPLITS) -> DataFrame:
+    """Add ``_b``, the bucket of each value among its key's, from splitters that the values themselves give.
 
-
-def auc(df: DataFrame, keys: list[str], score: str, label: str, bucket: Column | None = None) -> DataFrame:
-    """ROC-AUC per key with average-rank ties, NULL when one class is missing."""
-    cut = unit_bucket(F.col(score)) if bucket is None else bucket
-    counted = (
-        df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-        .withColumn("_b", cut)
-        .groupBy(*keys, "_b", score)
-        .agg(
-            F.count_if(F.col(label) == 1).alias("_p"),
-            F.count_if(F.col(label) == 0).alias("_n"),
-        )
-    )
-    inside = Window.partitionBy(*keys, "_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    Splitters are quantiles of the key's distinct values from a bounded, mergeable sketch, so that
+    values close together spread over buckets like any others. Buckets follow the values' order; what
+    is computed from them is exact whatever the splitters are. A value is looked up among every
+    sixteenth splitter first.
+    """
+    points = F.array(*[F.lit(i / splits) for i in range(1, splits)])
+    cuts = counted.groupBy(*keys).agg(F.percentile_approx(value, points, 2000).alias("_cuts"))
+    joined = counted.join(cuts, keys) if keys else counted.withColumn("_cuts", cuts.scalar())
+    coarse = F.filter("_cuts", lambda c, i: i % STRIDE == STRIDE - 1)
+    held = joined.withColumn("_c", F.size(F.filter(coarse, lambda c: c < F.col(value))))
+    rest = F.slice("_cuts", F.col("_c") * STRIDE + 1, F.lit(STRIDE))
+    return held.withColumn("_b", F.col("_c") * STRIDE + F.size(F.filter(rest, lambda c: c < F.col(value)))).drop("_cuts", "_c")
+
+
+def auc_of_counts(counted: DataFrame, keys: list[str], value: str, up: str, down: str) -> DataFrame:
+    """(keys, n_pos, n_neg, auc) from numbers of both classes at each distinct value; NULL when one class is missing."""
+    cut = bucketed(counted, keys, value)
+    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum(down).over(inside), F.lit(0))
     per_bucket = (
-        counted.withColumn("_u", F.col("_p") * (below + 0.5 * F.col("_n")))
+        cut.withColumn("_u", F.col(up) * (below + 0.5 * F.col(down)))
         .groupBy(*keys, "_b")
-        .agg(F.sum("_u").alias("_u"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+        .agg(F.sum("_u").alias("_u"), F.sum(up).alias("_up"), F.sum(down).alias("_down"))
     )
-    # At most BUCKETS rows per key remain here.
+    # At most SPLITS rows per key remain here.
     across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum("_n").over(across), F.lit(0))
+    earlier = F.coalesce(F.sum("_down").over(across), F.lit(0))
     return (
-        per_bucket.withColumn("_u", F.col("_u") + F.col("_p") * earlier)
+        per_bucket.withColumn("_u", F.col("_u") + F.col("_up") * earlier)
         .groupBy(*keys)
         .agg(
-            F.sum("_p").alias("n_pos"),
-            F.sum("_n").alias("n_neg"),
-            F.try_divide(
-                F.sum("_u"), (F.sum("_p") * F.sum("_n")).cast("double")
-            ).alias("auc"),
+            F.sum("_up").alias("n_pos"),
+            F.sum("_down").alias("n_neg"),
+            F.try_divide(F.sum("_u"), (F.sum("_up") * F.sum("_down")).cast("double")).alias("auc"),
         )
     )
 
 
-def with_ranks(
-    df: DataFrame, keys: list[str], value: str, bucket: Column | None = None, splits: int = 256
-) -> DataFrame:
+def auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
+    """ROC-AUC per key with average-rank ties, NULL when one class is missing."""
+    counted = (
+        df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+        .groupBy(*keys, score)
+        .agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
+    )
+    return auc_of_counts(counted, keys, score, "_p", "_n")
+
+
+def with_ranks(df: DataFrame, keys: list[str], value: str, bucket: Column | None = None, splits: int = SPLITS) -> DataFrame:
     """Distinct values per key with ``cnt``, ``below`` (rows strictly below) and ``total``.
 
     Buckets default to approximate quantile cuts (a bounded, mergeable sketch); the
@@ -67,24 +77,9 @@ def with_ranks(
     return ranks_of_counts(counted, keys, value, bucket, splits)
 
 
-def ranks_of_counts(
-    counted: DataFrame, keys: list[str], value: str, bucket: Column | None = None, splits: int = 256
-) -> DataFrame:
+def ranks_of_counts(counted: DataFrame, keys: list[str], value: str, bucket: Column | None = None, splits: int = SPLITS) -> DataFrame:
     """As ``with_ranks`` for values already counted in ``cnt``."""
-    if bucket is None:
-        points = F.array(*[F.lit(i / splits) for i in range(1, splits)])
-        cuts = counted.groupBy(*keys).agg(
-            F.percentile_approx(value, points, 2000).alias("_cuts")
-        )
-        if keys:
-            joined = counted.join(cuts, keys)
-        else:
-            joined = counted.withColumn("_cuts", cuts.scalar())
-        tagged = joined.withColumn(
-            "_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-        ).drop("_cuts")
-    else:
-        tagged = counted.withColumn("_b", bucket)
+    tagged = bucketed(counted, keys, value, splits) if bucket is None else counted.withColumn("_b", bucket)
     totals = tagged.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_in"))
     across = Window.partitionBy(*keys).orderBy("_b")
     totals = totals.select(

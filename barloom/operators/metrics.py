@@ -122,23 +122,7 @@ def scorecard(df: DataFrame, keys: list[str], p: str = "p", y: str = "y") -> Dat
 
 def auc_of_levels(lv: DataFrame, keys: list[str]) -> DataFrame:
     """AUC from level counts: ranks inside buckets of the score, then across buckets."""
-    cut = lv.withColumns({"_b": ranking.unit_bucket(F.col("_p")), "_neg": F.col("_n") - F.col("_pos")})
-    inside = Window.partitionBy(*keys, "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("_neg").over(inside), F.lit(0))
-    per_bucket = (
-        cut.withColumn("_u", F.col("_pos") * (below + 0.5 * F.col("_neg")))
-        .groupBy(*keys, "_b")
-        .agg(F.sum("_u").alias("_u"), F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
-    )
-    across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_neg").over(across), F.lit(0))
-    return (
-        per_bucket.withColumn("_u", F.col("_u") + F.col("_pos") * before)
-        .groupBy(*keys)
-        .agg(
-            F.try_divide(F.sum("_u"), (F.sum("_pos") * F.sum("_neg")).cast("double")).alias("auc")
-        )
-    )
+    return ranking.auc_of_counts(lv.withColumn("_neg", F.col("_n") - F.col("_pos")), keys, "_p", "_pos", "_neg").drop("n_pos", "n_neg")
 
 
 def reliability(df: DataFrame, keys: list[str], p: str = "p", y: str = "y") -> DataFrame:
@@ -315,48 +299,6 @@ def robustness(fold_deltas: DataFrame, seed_deltas: DataFrame) -> DataFrame:
     return one_row(folds, seeds)
 
 
-def _poisson() -> list[float]:
-    """P(Poisson(1) <= k) for every k below 1 in double precision."""
-    out, total, p, k = [], 0.0, 2.718281828459045 ** -1, 0
-    while total + p > total:
-        total += p
-        out.append(total)
-        k += 1
-        p /= k
-    return out
-
-
-POISSON = _poisson()
-
-
-def bootstrap_mean(
-    units: DataFrame, value: str, key: str, rounds: int = 1000, low: float = 0.025, high: float = 0.975, seed: int = 42
-) -> DataFrame:
-    """Percentile interval of the mean under resampling of ``units``.
-
-    Each unit draws a Poisson(1) weight per round from a hash, so rounds need no state
-    and nothing is gathered: weights and values are folded to one row per round in every
-    task. ``units`` should be resampling units (symbols, dates), not raw rows, and ``key``
-    names each of them: units of equal values draw apart, a repeated key fails.
-    """
-    text = F.concat_ws(":", F.lit(str(seed)), F.col("_b").cast("string"), F.col(key).cast("string"))
-    u = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    k = F.lit(0)
-    for level in POISSON:
-        k = k + F.when(F.col("_u") > level, 1).otherwise(0)
-    rounds_df = (
-        quality.require_unique(units, [key]).where(F.col(value).isNotNull())
-        .withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-        .withColumn("_u", u)
-        .withColumn("_w", k)
-        .groupBy("_b")
-        .agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum("_w")).alias("m"))
-    )
-    ci = ranking.quantiles(rounds_df, [], "m", {"ci_lower": low, "ci_upper": high}).drop("total")
-    se = rounds_df.agg(F.stddev_samp("m").alias("se"))
-    return one_row(units.agg(F.avg(value).alias("mean")), ci, se)
-
-
 def residual_risk(df: DataFrame, keys: list[str], y: str, pred: str) -> DataFrame:
     """RMSE, MAE, bias, correlation and median absolute deviation of residuals."""
     rows = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull()).withColumn("_e", F.col(y) - F.col(pred))

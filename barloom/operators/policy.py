@@ -151,9 +151,7 @@ def class_quantiles(rows: DataFrame, keys: list[str], p: str = "p", y: str = "y"
     scored = rows.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(
         *keys, F.col(y).cast("int").alias("_y"), F.when(F.col(y) == 1, 1.0 - prob).otherwise(prob).alias("_s")
     )
-    stats = ranking.order_stats(
-        scored, [*keys, "_y"], "_s", {"q": _conservative_rank(F.col("total"), alpha)}, ranking.unit_bucket(F.col("_s"))
-    )
+    stats = ranking.order_stats(scored, [*keys, "_y"], "_s", {"q": _conservative_rank(F.col("total"), alpha)})
     return stats.groupBy(*keys).agg(
         F.max(F.when(F.col("_y") == 0, F.col("q"))).alias("q0"), F.max(F.when(F.col("_y") == 1, F.col("q"))).alias("q1")
     )
@@ -176,7 +174,7 @@ def earlier_fold_quantiles(rows: DataFrame, folds: list[int], p: str = "p", y: s
         F.col("_f").alias("fold"), "_y", s.alias("_s"), "cnt"
     )
     counts = later.groupBy("fold", "_y", "_s").agg(F.sum("cnt").alias("cnt"))
-    ranked = ranking.ranks_of_counts(counts, ["fold", "_y"], "_s", ranking.unit_bucket(F.col("_s")))
+    ranked = ranking.ranks_of_counts(counts, ["fold", "_y"], "_s")
     r = _conservative_rank(F.col("total"), alpha)
     hit = F.max(F.when((r > F.col("below")) & (r <= F.col("below") + F.col("cnt")), F.col("_s")))
     per = ranked.groupBy("fold", "_y").agg(hit.alias("q"))
@@ -248,7 +246,7 @@ def conformal_band(rows: DataFrame, keys: list[str], p: str = "p", y: str = "y",
     scores = rows.where(F.col(p).isNotNull() & F.col(y).isNotNull()).withColumn("_s", F.abs(F.col(p) - F.col(y)))
     n = F.col("total")
     k = F.greatest(F.least(F.ceil((n + 1) * (1.0 - alpha)), n), F.lit(1))
-    out = ranking.order_stats(scores, keys, "_s", {"_w": k}, ranking.unit_bucket(F.col("_s")))
+    out = ranking.order_stats(scores, keys, "_s", {"_w": k})
     width = F.when(F.col("total") >= minimum, F.col("_w"))
     return out.select(
         *keys,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ranking
-from ..operators import drift, joins, ledger, metrics, quality
+from ..operators import bootstrap, drift, joins, ledger, metrics, quality
 from . import views as v
 from .catalog_market import labelled
 from .catalog_sources import forecasts
@@ -406,7 +406,7 @@ def _(spark, sf):
 
 
 sql_view("q_units", "SELECT date, avg(ret) AS ret FROM preds GROUP BY date")
-_DRAWN = " + ".join(f"CASE WHEN u > CAST({x!r} AS DOUBLE) THEN 1 ELSE 0 END" for x in metrics.POISSON)
+_DRAWN = " + ".join(f"CASE WHEN u > CAST({x!r} AS DOUBLE) THEN 1 ELSE 0 END" for x in bootstrap.POISSON)
 
 
 @query(
@@ -419,7 +419,7 @@ _DRAWN = " + ".join(f"CASE WHEN u > CAST({x!r} AS DOUBLE) THEN 1 ELSE 0 END" for
 )
 def _(spark, sf):
     units = v.preds(spark, sf).groupBy("date").agg(F.avg("ret").alias("ret"))
-    return metrics.bootstrap_mean(units, "ret", "date")
+    return bootstrap.mean_interval(units, "ret", "date")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import windows as w
-from ..operators import fundamentals as fu
+from ..operators import bootstrap, fundamentals as fu
 from ..operators import holdings, intents, joins, labels, metrics, policy, quality, screen, technical
 from . import views as v
 from .catalog_metrics import H, q_auc, q_score, regimed
@@ -712,6 +712,32 @@ def _(spark, sf):
     return policy.selective_verdict(policy.selective_metrics(s, ["policy"]), policy.selective_metrics(s, ["policy", "seed"]))
 
 
+_WEIGHT = " + ".join(f"CASE WHEN u > CAST({x!r} AS DOUBLE) THEN 1 ELSE 0 END" for x in bootstrap.POISSON)
+sql_view(
+    "q_paired",
+    """SELECT brand, avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0 END) FILTER (accepted) - avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0 END) AS delta
+FROM (SELECT *, symbol || '/' || CAST(id % 40 AS VARCHAR) AS brand FROM q_sel WHERE policy = 'candidate_a_entropy') GROUP BY brand""",
+)
+
+
+@query(
+    "entropy_verdict",
+    "policy, n:i, n_retained:i, coverage:6, accuracy_uplift:6, risk_reduction:6, n_symbols:i, delta:6, ci_lower:6, ci_upper:6, se:6, classification",
+    f"""SELECT *, CASE WHEN coverage IS NOT NULL AND NOT (coverage >= 0.3 AND coalesce(accuracy_uplift >= 0.02 AND risk_reduction >= 0.02, false)) THEN 'REJECTED' ELSE 'EVIDENCE STILL INSUFFICIENT' END AS classification FROM (
+  SELECT p.policy, p.n, p.n_accepted AS n_retained, p.coverage, p.accuracy - b.accuracy AS accuracy_uplift, b.selective_risk - p.selective_risk AS risk_reduction,
+    (SELECT count(delta) FROM q_paired) AS n_symbols, (SELECT avg(delta) FROM q_paired) AS delta, ci_lower, ci_upper, se
+  FROM q_selp p, (SELECT * FROM q_selp WHERE policy = 'always_accept') b, (SELECT quantile_cont(m, 0.025) AS ci_lower, quantile_cont(m, 0.975) AS ci_upper, stddev_samp(m) AS se FROM (
+    SELECT b, sum(w * delta) / sum(w) AS m FROM (SELECT b, delta, {_WEIGHT} AS w FROM (
+      SELECT b, delta, CAST(CAST('0x' || substr(md5('17:' || b || ':' || brand), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+      FROM q_paired, range(1, 2001) r(b) WHERE delta IS NOT NULL)) GROUP BY b))
+  WHERE p.policy = 'candidate_a_entropy')""",
+)
+def _(spark, sf):
+    # The orders' three flags are too few to resample; each is dealt into forty accounts.
+    rows = selected(spark, sf).withColumn("brand", F.concat_ws("/", "symbol", (F.col("id") % 40).cast("string")))
+    return bootstrap.entropy_validation(rows, "brand")
+
+
 @query(
     "pooled_verdict",
     "median_delta:6, wins:i, n_symbols:i, verdict",

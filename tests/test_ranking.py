@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import ranking
 from barloom.models import calibration
-from barloom.operators import metrics, policy
+from barloom.operators import bootstrap, metrics, policy
 
 
 @pytest.fixture(scope="module")
@@ -153,7 +153,7 @@ def test_bootstrap_interval(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(1.0, 2.0, 300)
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id int, v double")
-    r = metrics.bootstrap_mean(df, "v", "id").first()
+    r = bootstrap.mean_interval(df, "v", "id").first()
     assert r["mean"] == pytest.approx(x.mean())
     assert r["se"] == pytest.approx(x.std(ddof=1) / np.sqrt(300), rel=0.15)
     assert r["ci_lower"] < r["mean"] < r["ci_upper"]
@@ -171,5 +171,46 @@ def test_random_acceptance_keeps_coverage(scored):
 def test_bootstrap_of_equal_rows(spark):
     """Units with equal values draw apart: five distinct values have the error of 500 units."""
     df = spark.createDataFrame([(i, float(i % 5)) for i in range(500)], "id int, v double")
-    r = metrics.bootstrap_mean(df, "v", "id").first()
+    r = bootstrap.mean_interval(df, "v", "id").first()
     assert r["se"] == pytest.approx(np.sqrt(2.0 / 500), rel=0.15)
+
+
+def test_paired_interval_resamples_units_that_have_both(spark):
+    """Replicates from the same draws by numpy."""
+    import hashlib
+
+    rng = np.random.default_rng(4)
+    rows = [(f"u{i}", float(rng.normal()), float(rng.normal()) if i % 5 else None) for i in range(40)]
+    got = bootstrap.paired_interval(spark.createDataFrame(rows, "u string, a double, b double"), "a", "b", "u", 300, 7).first()
+    both = [(u, a - b) for u, a, b in rows if b is not None]
+    draw = lambda u, b: int(hashlib.md5(f"7:{b}:{u}".encode()).hexdigest()[:13], 16) / 2**52
+    w = np.array([[sum(draw(u, b) > x for x in bootstrap.POISSON) for b in range(1, 301)] for u, _ in both])
+    m = (np.array([d for _, d in both]) @ w) / w.sum(axis=0)
+    want = (len(both), np.mean([d for _, d in both]), *np.quantile(m, [0.025, 0.975]), m.std(ddof=1))
+    assert np.allclose([got["n_units"], got["mean"], got["ci_lower"], got["ci_upper"], got["se"]], want)
+
+
+def test_entropy_validation_gates(spark):
+    """An uplift under 0.02 rejects, one above is evidence still insufficient, no rows at all too."""
+    kind = "policy string, symbol string, p double, y int, accepted boolean"
+    rows = [("candidate_a_entropy", f"s{i % 4}", 0.9 if i % 2 else 0.55, 1 if i % 2 or i % 4 else 0, bool(i % 2)) for i in range(80)]
+    good = bootstrap.entropy_validation(spark.createDataFrame(rows, kind), "symbol", rounds=50).first()
+    assert good["classification"] == "EVIDENCE STILL INSUFFICIENT" and good["coverage"] == 0.5 and good["accuracy_uplift"] > 0.2
+    assert good["n_symbols"] == 2 and good["delta"] == 0.0  # a symbol without an accepted row has no pair
+    flat = spark.createDataFrame([(a, b, p, 1, True) for a, b, p, _, _ in rows], kind)
+    assert bootstrap.entropy_validation(flat, "symbol", rounds=50).first()["classification"] == "REJECTED"
+    assert bootstrap.entropy_validation(flat.where("false"), "symbol", rounds=50).first()["classification"] == "EVIDENCE STILL INSUFFICIENT"
+
+
+def test_values_close_together_spread_over_buckets(spark):
+    """A third of the rows within 1e-4 of each other, on one key: no bucket holds more than a few of the levels."""
+    df = spark.range(30_000).selectExpr("0 as k", "case when id % 3 = 0 then 0.5 + id * 3e-9 else (id * 7919 % 30011) / 30011.0d end as p", "cast(id * 31 % 7 < 3 as int) as y")
+    counted = df.groupBy("k", "p").agg(F.count_if(F.col("y") == 1).alias("up"), F.count_if(F.col("y") == 0).alias("down"))
+    sizes = ranking.bucketed(counted, ["k"], "p").groupBy("_b").agg(F.count("*").alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi")).orderBy("_b").collect()
+    assert len(sizes) > 200 and max(r["n"] for r in sizes) < 3 * counted.count() / len(sizes)
+    assert all(a["hi"] < b["lo"] for a, b in zip(sizes, sizes[1:]))
+    local = df.toPandas()
+    rank = local.p.rank().to_numpy()
+    n1 = local.y.sum()
+    want = (rank[local.y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(local) - n1))
+    assert abs(ranking.auc(df, ["k"], "p", "y").first()["auc"] - want) < 1e-12

@@ -301,6 +301,17 @@ def score_forest(rows: DataFrame, nodes: DataFrame, group: list[str], width: int
     return test.select(*columns).groupBy(*keys, "_block").cogroup(held.groupBy(*keys, "_block")).applyInArrow(run, f"{_fields(rows, kept)}, seed int, prob double")
 
 
+def gain_shares(nodes: DataFrame, features: list[str], top: int = 15) -> DataFrame:
+    """(feature, rank, share): split gains summed over all groups, folds, seeds and trees, the largest first."""
+    named = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("feature") + 1)
+    found = nodes.where("feature >= 0").groupBy(named.alias("feature")).agg(F.sum("gain").alias("gain"))
+    # One row for each feature.
+    rows = found.orderBy(F.desc("gain"), "feature").collect()
+    total = sum(r["gain"] for r in rows)
+    ranked = [(r["feature"], k, r["gain"] / total) for k, r in enumerate(rows[:top], 1)]
+    return nodes.sparkSession.createDataFrame(ranked, "feature string, rank int, share double")
+
+
 def boosted(bins_: np.ndarray, y: np.ndarray, row: np.ndarray, test: np.ndarray, heavy: float, seed: int, size: Boost, bins: int = BINS) -> np.ndarray:
     """P(up) of ``test`` rows after all rounds on the other binned rows.
 

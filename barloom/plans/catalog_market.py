@@ -125,10 +125,10 @@ def _(spark, sf):
 @query(
     "benchmark_join",
     "symbol, date:d, close:8, mkt:6",
-    "SELECT b.symbol, b.date, b.close, m.close AS mkt FROM bars b LEFT JOIN market m ON b.date = m.date",
+    "SELECT b.symbol, b.date, b.close, m.close AS mkt FROM bars b LEFT JOIN ragged_market m ON b.date = m.date",
 )
 def _(spark, sf):
-    return joins.attach_series(v.bars(spark, sf), v.market(spark, sf), "mkt")
+    return joins.attach_series(v.bars(spark, sf), v.ragged_market(spark, sf), "mkt")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ranking
-from ..models import calibration, grouped, pooled
+from ..models import calibration, grouped, pooled, trees, wide
 from ..operators import events, labels, ledger, market, metrics, policy, quality, splits
 from ..session import materialize
 from . import research as rs
@@ -134,12 +134,11 @@ def _(spark, sf):
     return as_oof(out.unionByName(forest))
 
 
-@query("boosted_trees_fold", "symbol, date:d, prob:6, y:0")
+@query("boosted_trees_fold", "symbol, date:d, fold:i, prob:6, y:0")
 def _(spark, sf):
     p, f = ready(spark, sf)
-    rows = splits.assign(p, f).where("fold = 3")
-    model, prior = pooled.fit(rows.where("role = 'train'"), rs.FEATURES, "up", "gbt", 0, {"maxIter": 8, "stepSize": 0.2})
-    return as_oof(pooled.predict(model, rows.where("role = 'test'"), prior))
+    rows = trees.prepare(p, f, ["symbol"], rs.FEATURES, "up")
+    return trees.out_of_fold_boosted(rows, ["symbol"], len(rs.FEATURES)).withColumnRenamed("_y", "y")
 
 
 @query(
@@ -162,17 +161,22 @@ def _(spark, sf):
 @query("tree_feature_gains", "feature, rank:i, share:4")
 def _(spark, sf):
     p, f = ready(spark, sf)
-    rows = splits.assign(p, f).where("fold >= 2 AND role = 'train'")
-    models = [pooled.fit(rows.where(F.col("fold") == k), rs.FEATURES, "up", "rf", k, {"numTrees": 10, "maxDepth": 5})[0] for k in (2, 3)]
-    return pooled.tree_gains(models, rs.FEATURES, spark)
+    rows = trees.prepare(p, f, [], rs.FEATURES, "up")
+    return trees.gain_shares(trees.fit_forest(rows, [], len(rs.FEATURES)), rs.FEATURES)
 
 
 @query("permutation_importance", "feature, importance:6")
 def _(spark, sf):
     p, f = ready(spark, sf)
-    rows = splits.assign(p, f).where("fold = 3")
-    model, _ = pooled.fit(rows.where("role = 'train'"), rs.FEATURES, "up", "logistic")
-    return pooled.permutation_importance(model, rows.where("role = 'test'"), rs.FEATURES, "up", 2)
+    rows = splits.assign(p, f)
+    out = None
+    for fold in sorted(r["fold"] for r in f.select("fold").distinct().collect()):
+        own = rows.where(F.col("fold") == fold)
+        model, _ = pooled.fit(own.where("role = 'train'"), rs.FEATURES, "up", "logistic")
+        if model is not None:
+            one = pooled.permutation_importance(model, own.where("role = 'test'"), rs.FEATURES, "up")
+            out = one if out is None else out.unionByName(one)
+    return out.groupBy("feature").agg(F.avg("importance").alias("importance"))
 
 
 @query("local_sensitivity", "symbol, factor, rank:i, impact:6, direction")
@@ -229,17 +233,20 @@ def _(spark, sf):
 @query("return_risk_models", "model, n:i, rmse:6, mae:6, bias:6, corr:6, mad:6")
 def _(spark, sf):
     p, f = ready(spark, sf)
-    rows = splits.assign(p, f).where("fold = -1")
-    train, test = rows.where("role = 'train'"), rows.where("role = 'test' AND ret IS NOT NULL")
-    parts = {
-        "ridge": pooled.predict_return(train, test, rs.FEATURES, "ret", "ridge"),
-        "forest": pooled.predict_return(train, test, rs.FEATURES, "ret", "rf", 17, {"numTrees": 20, "maxDepth": 4}),
-        "two_stage": pooled.two_stage_return(train, test, rs.FEATURES, "ret", "up"),
-        "null": pooled.null_return(train, test, "ret"),
-    }
+    rows = materialize(splits.assign(p, f), "return-rows")
+    known = rows.where("role = 'train'").groupBy("fold").agg(F.avg("ret").alias("_mean"), F.avg(F.when(F.col("up") == 1, F.col("ret"))).alias("_rise"))
+    keep = ["symbol", "date", "fold", "ret"]
+    parts = {"ridge": wide.out_of_fold(p, f, rs.FEATURES, "ret", [], "plain").select(*keep, F.col("prob").alias("pred"))}
+    up = grouped.out_of_fold(p, f, rs.FEATURES, "up", [], "logistic").select(*keep, "prob").join(known, "fold")
+    parts["two_stage"] = up.select(*keep, (F.col("prob") * F.coalesce("_rise", F.lit(0.0))).alias("pred"))
+    parts["null"] = rows.where("role = 'test'").join(known, "fold").select(*keep, F.col("_mean").alias("pred"))
+    for fold in sorted(r["fold"] for r in f.select("fold").distinct().collect()):
+        own = rows.where(F.col("fold") == fold)
+        one = pooled.predict_return(own.where("role = 'train'"), own.where("role = 'test'"), rs.FEATURES, "ret", "rf").select(*keep, "pred")
+        parts["forest"] = one if "forest" not in parts else parts["forest"].unionByName(one)
     out = None
     for name, df in parts.items():
-        one = df.select(F.lit(name).alias("model"), "symbol", F.col("ret").alias("y"), "pred")
+        one = df.where("ret is not null").select(F.lit(name).alias("model"), "symbol", F.col("ret").alias("y"), "pred")
         out = one if out is None else out.unionByName(one)
     return metrics.residual_risk(materialize(out, "returns"), ["model"], "y", "pred")
 

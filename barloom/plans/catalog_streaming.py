@@ -86,3 +86,19 @@ def _(spark, sf):
     table = v.bars(spark, sf).select("symbol", "date", "close")
     table.write.parquet(path)
     return jobs.replay(jobs.running_indicators(jobs.source(spark, path, "*.parquet", table.schema)), "stream-indicators")
+
+
+@query(
+    "stream_indicators_any_order",
+    "symbol, date:d, macd:4, macd_signal:4, rsi:6",
+    "SELECT m.symbol, m.date, m.macd, m.macd_signal, r.rsi FROM q_macd m JOIN q_rsi r ON r.symbol = m.symbol AND r.date = m.date",
+)
+def _(spark, sf):
+    path = fresh(spark, "bars-in-any-order")
+    table = v.bars(spark, sf).select("symbol", "date", "close")
+    # Files cut across the calendar and come in three micro-batches; an end marker releases what waits.
+    table.repartition(6, F.xxhash64("date")).write.parquet(path)
+    end = table.groupBy("symbol").agg(F.max("date").alias("date")).withColumn("close", F.lit(None).cast("double"))
+    end.coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.ordered_indicators(jobs.source(spark, path, "*.parquet", table.schema, 2), 36_500)
+    return jobs.replay(stream, "stream-any-order").where("not late")

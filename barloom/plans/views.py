@@ -86,16 +86,19 @@ def _average_price(rows: DataFrame) -> DataFrame:
 
 
 def market(spark, sf) -> DataFrame:
-    """Volume-weighted price over all symbols; a few days a year have none."""
-    rows = trades(spark, sf).where(~F.dayofyear("date").isin(44, 45, 47))
-    return _average_price(rows)
+    """Volume-weighted price over all symbols on all days."""
+    return _average_price(trades(spark, sf))
 
 
-sql_view(
-    "market",
-    """SELECT date, sum(price * qty) / sum(qty) AS close FROM trades
-WHERE dayofyear(date) NOT IN (44, 45, 47) GROUP BY date""",
-)
+sql_view("market", "SELECT date, sum(price * qty) / sum(qty) AS close FROM trades GROUP BY date")
+
+
+def ragged_market(spark, sf) -> DataFrame:
+    """The market on a calendar of its own, which lacks three days a year; only for the alignment of calendars."""
+    return market(spark, sf).where(~F.dayofyear("date").isin(44, 45, 47))
+
+
+sql_view("ragged_market", "SELECT * FROM market WHERE dayofyear(date) NOT IN (44, 45, 47)")
 
 
 def volx(spark, sf) -> DataFrame:

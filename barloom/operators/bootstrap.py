@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking
 from ..functions.tables import one_row
+from ..session import materialize
 from . import quality
 
 
@@ -82,7 +83,9 @@ def ratio_interval(
     """
     known = quality.require_unique(units, [key]).where(F.col(top).isNotNull() & F.col(bottom).isNotNull())
     known = known.select(F.col(key).alias("_key"), F.col(top).alias("_top"), F.col(bottom).alias("_bottom"))
+    # A row for each round, written once for all that is read from it.
     rounds_df = replicates(known, "_key", ["_top", "_bottom"], rounds, seed).select(F.try_divide("_top", "_bottom").alias("m"))
+    rounds_df = materialize(rounds_df, "replicates")
     ci = ranking.quantiles(rounds_df, [], "m", {"ci_lower": low, "ci_upper": high}).drop("total")
     se = rounds_df.agg(F.stddev_samp("m").alias("se"))
     return one_row(known.agg(F.try_divide(F.sum("_top"), F.sum("_bottom")).alias("mean")), ci, se)
@@ -116,6 +119,7 @@ def entropy_validation(
         F.count(F.lit(1)).alias("n"), F.count_if("accepted").alias("n_accepted"), F.sum(right).alias("right_all"),
         F.sum(F.when(F.col("accepted"), right)).alias("right_accepted"),
     )
+    per = materialize(per, "policy-units")
     per = per.withColumns({"_all": F.try_divide("right_all", "n"), "_own": F.try_divide("right_accepted", "n_accepted")})
     total = per.agg(F.sum("n").alias("n"), F.sum("n_accepted").alias("n_retained"), F.sum("right_all").alias("_ra"), F.sum("right_accepted").alias("_rs"))
     band = paired_interval(per, "_own", "_all", unit, rounds, seed).withColumnsRenamed({"mean": "delta", "n_units": "n_symbols"})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..models import trees, wide
-from ..operators import cross, labels, metrics, quality, splits
+from ..operators import cross, labels, metrics, policy, quality, splits
 from ..session import materialize
 from . import research as rs
 from . import views as v
@@ -132,3 +132,23 @@ def _(spark, sf):
     rows = trees.prepare(p, f, [], rs.FEATURES, "up")
     nodes = trees.fit_forest(rows, [], len(rs.FEATURES))
     return trees.score_forest(rows, nodes, [], len(rs.FEATURES)).withColumnRenamed("_y", "y")
+
+
+@query("oof_symbol_ensemble", "symbol, date:d, fold:i, p_logistic:5, p_ridge:5, p_forest:5, p_boosted:5, prob:5, y:0")
+def _(spark, sf):
+    """Every model of a symbol on the same folds and columns, and their average."""
+    panel, matrices = modelling_panel(spark, sf)
+    columns = matrices["baseline"]
+    own = panel.select("symbol", "date", "up", *columns)
+    folds = materialize(splits.panel_folds(own, 4, 4, 60), "folds")
+    key = ["symbol", "date", "fold"]
+    out = wide.out_of_fold(own, folds, columns, "up", ["symbol"], "logistic").select(*key, F.col("up").alias("y"), F.col("prob").alias("p_logistic"))
+    ridge = wide.out_of_fold(own, folds, columns, "up", ["symbol"], "signed").select(*key, F.col("prob").alias("p_ridge"))
+    rows = trees.prepare(own, folds, ["symbol"], columns, "up")
+    nodes = trees.fit_forest(rows, ["symbol"], len(columns))
+    forest = trees.score_forest(rows, nodes, ["symbol"], len(columns)).select(*key, F.col("prob").alias("p_forest"))
+    boosted = trees.out_of_fold_boosted(rows, ["symbol"], len(columns)).select(*key, F.col("prob").alias("p_boosted"))
+    for part in (ridge, forest, boosted):
+        out = out.join(part, key, "left")
+    models = ["p_logistic", "p_ridge", "p_forest", "p_boosted"]
+    return policy.uncertainty(out, models).withColumnRenamed("probability", "prob")

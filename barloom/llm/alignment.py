@@ -15,6 +15,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -23,21 +24,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import pair, ship
+from barloom.llm.word_bpe import Numbered
 from barloom.session import materialize
 
 A_FILE = "byte_bpe_50k.json"
 B_FILE = "piece_bpe_32k.model"
 BITS = 15
 MASK = (1 << BITS) - 1
-REMEMBERED_BYTES = 48 << 20
+REMEMBERED_BYTES = 200 << 20
 STEP = 1 << 20
 COMMON_PAIRS = 50_000
 
+CALL_BYTES = 1 << 16
+
 # Neither tokenizer has a token over a place between a character that is no white space and a blank
-# or line end, nor over one behind a single line end. Bytes C3 to DF begin no white space.
-_CUT = re.compile(
-    rb"(?:(?<=[\x21-\x7e])|(?<=[\xc3-\xdf][\x80-\xbf]))(?=[ \n])|(?<=[\x21-\x7e]\n)(?=[\x21-\x7e])"
-)
+# or line end; bytes C3 to DF begin no white space. A part runs to the first such place.
+_SAFE = rb"(?:[\x21-\x7e]|[\xc3-\xdf][\x80-\xbf])"
+_PART = re.compile(rb"[ \n]*[^ \n]*" + _SAFE + rb"(?=[ \n]|\Z)|[\x00-\xff]*?" + _SAFE + rb"(?=[ \n])|[\x00-\xff]+")
+
+
+def _ends_safe(part: bytes) -> bool:
+    return 0x21 <= part[-1] <= 0x7E or (len(part) > 1 and 0x80 <= part[-1] <= 0xBF and 0xC3 <= part[-2] <= 0xDF)
 
 
 def _byte_of() -> dict[str, int]:
@@ -100,7 +107,7 @@ class Aligned:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Numbered()
         self.held = 0
         self.text: list[bytes | None] = []
         self.sizes = np.zeros((1 << 12, 3), np.int64)  # tokens of A, tokens of B, links
@@ -110,26 +117,51 @@ class Aligned:
 
     def parts(self, text: str) -> list[bytes]:
         data = (" " + text).encode()
-        return _CUT.split(data) if self.v.separable else [data]
-
-    def learn(self, parts: set[bytes]) -> None:
-        if self.held > self.remembered:
-            self._forget()
-        new = [p for p in parts if p not in self.known]
-        if not new:
-            return
+        return _PART.findall(data) if self.v.separable else [data]
+
+    def _encoded_a(self, parts: list[bytes], joined: int) -> np.ndarray:
+        """A's identifiers of all parts one after another; the first ``joined`` parts go together in calls of some size."""
+        calls, at, size = [], 0, 0
+        for k in range(joined):
+            size += len(parts[k])
+            if size >= CALL_BYTES or k == joined - 1:
+                calls.append(b"".join(parts[at : k + 1]).decode())
+                at, size = k + 1, 0
+        calls += [p.decode() for p in parts[joined:]]
+        found = [e.ids for e in self.v.a.encode_batch_fast(calls, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found)))
+
+    def learn(self, new: list[bytes]) -> None:
+        """Align parts that were numbered just now, in the order of their numbers."""
         v = self.v
-        texts = [p.decode() for p in new]
-        a = [e.ids for e in v.a.encode_batch_fast(texts, add_special_tokens=False)]
-        b = v.b.encode(texts, num_threads=1)
-        good = [
-            b"".join(map(v.a_bytes.__getitem__, x)) == p and b"".join(map(v.b_bytes.__getitem__, y)) == p
-            for p, x, y in zip(new, a, b, strict=True)
-        ]
+        base = len(self.text)
+        safe = [self.v.separable and _ends_safe(p) for p in new]
+        order = [k for k, yes in enumerate(safe) if yes] + [k for k, yes in enumerate(safe) if not yes]
+        joined = sum(safe)
+        parts = [new[k] for k in order]
+        length = np.array([len(p) for p in parts], np.int64)
+        part_end = np.cumsum(length)
+        ids_a = self._encoded_a(parts, joined)
+        end_a = np.cumsum(v.a_len[ids_a])
+        whole = b"".join(parts)
+        found = v.b.encode([p.decode() for p in parts], num_threads=1)
+        nb = np.array([len(x) for x in found], np.int64)
+        ids_b = np.fromiter(chain.from_iterable(found), np.int64, int(nb.sum()))
+        bytes_b = np.add.reduceat(np.append(v.b_len[ids_b], 0), np.cumsum(nb) - nb) if len(nb) else nb
+        good = (bytes_b == length) & (nb > 0)
+        if b"".join(map(v.b_bytes.__getitem__, ids_b.tolist())) != whole:
+            good &= np.array([b"".join(map(v.b_bytes.__getitem__, x)) == p for p, x in zip(parts, found, strict=True)], bool)
+        if b"".join(map(v.a_bytes.__getitem__, ids_a.tolist())) != whole:
+            one = [e.ids for e in v.a.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
+            good &= np.array([b"".join(map(v.a_bytes.__getitem__, x)) == p for p, x in zip(parts, one, strict=True)], bool)
+            na = np.array([len(x) for x in one], np.int64)
+            ids_a = np.fromiter(chain.from_iterable(one), np.int64, int(na.sum()))
+        else:
+            na = np.diff(np.searchsorted(end_a, part_end, side="right"), prepend=0)
+        # Only good parts from here on.
+        ids_a, ids_b = ids_a[np.repeat(good, na)], ids_b[np.repeat(good, nb)]
         at = np.flatnonzero(good)
-        na, nb = (np.array([len(side[k]) for k in at], np.int64) for side in (a, b))
-        ids_a = np.array([i for k in at for i in a[k]], np.int64)
-        ids_b = np.array([i for k in at for i in b[k]], np.int64)
+        na, nb, part_end = na[at], nb[at], np.cumsum(length[at])
         end_a, end_b = np.cumsum(v.a_len[ids_a]), np.cumsum(v.b_len[ids_b])
         both = np.intersect1d(end_a, end_b, assume_unique=True)
         group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
@@ -147,36 +179,35 @@ class Aligned:
         names = names.tolist()
         ends = np.cumsum(na + nb).tolist()
         # Groups of a part: its own ends among the common ones.
-        part_end = np.cumsum([len(new[k]) for k in at]) if len(at) else np.zeros(0, np.int64)
-        n_links = np.diff(np.searchsorted(both, part_end, side="right"), prepend=0) if len(at) else part_end
-        base = len(self.text)
+        n_links = np.diff(np.searchsorted(both, part_end, side="right"), prepend=0)
         while len(self.sizes) < base + len(new):
             self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)))
             self.first = np.concatenate((self.first, np.zeros_like(self.first)))
         while len(self.links) < self.n_links + len(links):
             self.links = np.concatenate((self.links, np.zeros_like(self.links)))
         self.links[self.n_links : self.n_links + len(links)] = links
-        rows = base + at
+        rows = base + np.array(order, np.int64)[at]
         self.sizes[base : base + len(new)] = 0
-        self.sizes[rows] = np.column_stack((na, nb, n_links)) if len(at) else np.zeros((0, 3), np.int64)
+        self.sizes[rows] = np.column_stack((na, nb, n_links))
         self.first[rows] = self.n_links + np.cumsum(n_links) - n_links
         self.n_links += len(links)
+        self.text += [None] * len(new)
         start = 0
-        made = dict.fromkeys(range(len(new)))
-        for k, end in zip(at.tolist(), ends, strict=True):
-            made[k] = b"".join(names[start:end])
+        for row, end in zip(rows.tolist(), ends, strict=True):
+            self.text[row] = b"".join(names[start:end])
             start = end
-        for k, p in enumerate(new):
-            self.known[p] = base + k
-            self.text.append(made[k])
-            self.held += 2 * len(p) + len(made[k] or b"") + 200
+        self.held += 2 * len(whole) + 8 * len(links) + 12 * len(names) + 200 * len(new)
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Sizes and group digests of each text; document, link and occurrences of each distinct link."""
+        if self.held > self.remembered:
+            self._forget()
         split = [self.parts(t) if t else [] for t in texts]
-        self.learn(set().union(*split))
         lengths = np.array([len(p) for p in split], np.int64)
-        codes = np.fromiter((self.known[p] for part in split for p in part), np.int64, int(lengths.sum()))
+        codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
+        new, self.known.new = self.known.new, []
+        if new:
+            self.learn(new)
         doc = np.repeat(np.arange(len(texts)), lengths)
         digests, at = [], 0
         good = np.zeros(len(texts), bool)

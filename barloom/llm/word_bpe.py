@@ -145,7 +145,7 @@ def words(path: str, packed: bool) -> Words:
     return Words(path, packed)
 
 
-class _Numbered(dict):
+class Numbered(dict):
     """Numbers parts as they come and lists the new ones."""
 
     def __init__(self):
@@ -166,7 +166,7 @@ class FlatWords(Words):
         self._forget()
 
     def _forget(self) -> None:
-        self.known = _Numbered()
+        self.known = Numbered()
         self.store = np.empty(1 << 20, "<u4")
         self.used = 0
         self.first = np.zeros(1 << 16, np.int64)

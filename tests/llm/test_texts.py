@@ -210,6 +210,44 @@ def test_gibbs_matches_exact_posterior():
     assert all(abs(seen[t] / n - chance[t] / total) < 0.03 for t in (1, 2, 3))
 
 
+def test_tables_are_drawn_as_customers_move_one_by_one():
+    """Tables drawn for whole dishes follow the posterior, and many moves of single customers end in the same."""
+    d, weight, n = 0.5, 0.8, 20_000
+    rng = np.random.default_rng(81)
+    chance = {1: (1 - d) * (2 - d), 2: 3 * weight * (1 - d), 3: weight * weight}
+    seen = Counter(pitman_yor.draw_tables(np.full(n, 3), np.full(n, weight), np.zeros(n), d, rng.random(n)).tolist())
+    assert all(abs(seen[t] / n - chance[t] / sum(chance.values())) < 0.015 for t in chance)
+    many, n = 30, 2000
+    seats = pitman_yor.Seating(np.full(n, many), np.ones(n))
+    for _ in range(15):
+        seats.sweep(np.full(n, many), np.full(n, 5.0), 0.75, rng, np.zeros(n))
+    drawn = pitman_yor.draw_tables(np.full(n, many), np.full(n, 5.0), np.zeros(n), 0.75, rng.random(n))
+    assert abs(drawn.mean() - seats.tables.mean()) < 0.35 and abs(drawn.std() - seats.tables.std()) < 0.3
+    parent = pitman_yor.parent_tables(rng.integers(1, 1 << 62, n, dtype=np.uint64), np.full(n, 3.0), 0, weight, d)
+    assert all(abs((parent == t).mean() - chance[t] / sum(chance.values())) < 0.05 for t in chance)
+
+
+def test_first_seating_seats_customers_one_by_one():
+    """Numbers and sizes of tables vary as they do when each customer chooses in turn, not at their mean."""
+    d, weight, customers, n = 0.5, 0.8, 40, 3000
+    rng = np.random.default_rng(82)
+    got = pitman_yor.first_seating(np.full(n, customers), np.full(n, weight), d, rng)
+    rows = np.split(got.sizes, np.cumsum(got.tables)[:-1])
+    assert all(x.sum() == customers and x.min() > 0 for x in rows)
+    slow = np.zeros((n, customers))
+    slow[:, 0] = 1
+    for _ in range(1, customers):
+        odds = np.cumsum(np.where(slow > 0, slow - d, 0), axis=1)
+        pick = rng.random(n) * (weight + odds[:, -1])
+        old = np.minimum((odds <= pick[:, None]).sum(axis=1), customers - 1)
+        slow[np.arange(n), np.where(pick < odds[:, -1], old, (slow > 0).sum(axis=1))] += 1
+    want = (slow > 0).sum(axis=1)
+    assert abs(got.tables.mean() - want.mean()) < 0.2 and abs(got.tables.std() - want.std()) < 0.15
+    assert abs(np.mean([x.max() for x in rows]) - slow.max(axis=1).mean()) < 0.8
+    far = pitman_yor.parent_tables(rng.integers(1, 1 << 62, 500, dtype=np.uint64), np.full(500, 5000.0), 0, weight, d)
+    assert far.std() > 0.3 and far.min() >= 1
+
+
 def test_word_hashes_do_not_depend_on_pieces():
     rng = np.random.default_rng(9)
     text = " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(1, 12))) for _ in range(2000)).encode()

@@ -1,3 +1,5 @@
+import statistics
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -214,3 +216,16 @@ def test_values_close_together_spread_over_buckets(spark):
     n1 = local.y.sum()
     want = (rank[local.y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(local) - n1))
     assert abs(ranking.auc(df, ["k"], "p", "y").first()["auc"] - want) < 1e-12
+
+
+def test_no_row_moves_to_its_key(spark):
+    """Splitters come to the rows: a key with most rows stays spread; rows of unknown keys go, and ranks stay exact."""
+    rows = [("a", float(i * i % 7919)) for i in range(3000)] + [("b", float(i)) for i in range(10)] + [(None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    cut = ranking.bucketed(df, ["k"], "v", 16)
+    assert "Join" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    assert cut.where("k is null").isEmpty() and cut.count() == 3010
+    most = max(r["count"] for r in cut.groupBy("k", "_b").count().collect())
+    assert most < 2 * 3010 / 16
+    got = {r["k"]: r["m"] for r in ranking.median(df, ["k"], "v", "m").collect()}
+    assert got == {k: statistics.median(v for x, v in rows if x == k) for k in ("a", "b")}

@@ -337,14 +337,16 @@ def _(spark, sf):
 # ---- composed plans ------------------------------------------------------------------
 
 
-def full_frame(spark, sf):
-    week = materialize(v.weekly(spark, sf), "weekly")
+def full_frame(spark, sf, week=None, average=None):
+    """All features; the weekly bars and the market are written once, as each of their readers would go over all trades."""
+    week = materialize(v.weekly(spark, sf), "weekly") if week is None else week
+    average = materialize(v.market(spark, sf), "market") if average is None else average
     chain = events.chain_metrics(v.chains(spark, sf), spots_of(week), 30).withColumn(
         "available_at", F.add_months("as_of", 1)
     )
     snaps = v.snaps(spark, sf).withColumn("symbol", F.concat(F.lit("Brand#"), (F.col("seq") % 25).cast("string")))
     return rs.feature_frame(
-        week, v.market(spark, sf), v.volx(spark, sf), market.breadth(week),
+        week, average, v.volx(spark, sf, average), market.breadth(week),
         arrivals(spark, sf), (v.series(spark, sf), ["demand", "supply"]), (snaps, "seq"), chain, sector_closes(week),
     )
 

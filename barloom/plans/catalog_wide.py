@@ -16,8 +16,9 @@ from .registry import query, sql_view
 
 def modelling_panel(spark, sf) -> tuple[DataFrame, dict[str, list[str]]]:
     """Every feature column of the frame, the relative block beside it, and the label; columns by matrix."""
-    frame = materialize(full_frame(spark, sf), "frame")
-    relative = cross.relative_features(v.weekly(spark, sf), v.market(spark, sf)).select("symbol", "date", *cross.relative_columns())
+    week, average = materialize(v.weekly(spark, sf), "weekly"), materialize(v.market(spark, sf), "market")
+    frame = materialize(full_frame(spark, sf, week, average), "frame")
+    relative = cross.relative_features(week, average).select("symbol", "date", *cross.relative_columns())
     base = [c for columns in rs.group_columns(frame.columns).values() for c in columns]
     out = labels.add_target(frame.join(relative, ["symbol", "date"], "left"), 4)
     out = out.withColumnsRenamed({"target_ret_4d": "ret", "target_up_4d": "up"})

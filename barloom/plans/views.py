@@ -101,9 +101,9 @@ def ragged_market(spark, sf) -> DataFrame:
 sql_view("ragged_market", "SELECT * FROM market WHERE dayofyear(date) NOT IN (44, 45, 47)")
 
 
-def volx(spark, sf) -> DataFrame:
+def volx(spark, sf, average: DataFrame | None = None) -> DataFrame:
     """Volatility index on the market's own calendar."""
-    m = market(spark, sf).withColumn("_one", F.lit(1))
+    m = (market(spark, sf) if average is None else average).withColumn("_one", F.lit(1))
     m = m.withColumn("r", w.pct_change("close", 1, keys=("_one",)))
     m = m.withColumn("v", w.roll_std("r", 20, keys=("_one",)) * 100)
     return m.where(F.col("v").isNotNull()).select("date", F.col("v").alias("close"))

@@ -117,3 +117,25 @@ def test_bars_in_any_order_within_the_lateness(spark, tmp_path):
     want = {(r["symbol"], r["date"]): r["macd_signal"] for r in technical.macd(spark.createDataFrame(kept, schema)).collect()}
     found = {(r["symbol"], r["date"]): r["macd_signal"] for r in got if not r["late"]}
     assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_modelling_panel_reads_trades_once_for_each_view(spark, monkeypatch):
+    """Weekly bars and the market are written once and read by all that need them."""
+    from barloom.plans import catalog_models, catalog_wide
+
+    class Planned(Exception):
+        pass
+
+    def stop(*_):
+        raise Planned
+
+    calls = []
+    for name in ("weekly", "market"):
+        view = getattr(catalog_wide.v, name)
+        monkeypatch.setattr(catalog_wide.v, name, lambda spark, sf, name=name, view=view: calls.append(name) or view(spark, sf))
+    for module in (catalog_models, catalog_wide):
+        monkeypatch.setattr(module, "materialize", lambda df, label: df)
+    monkeypatch.setattr(catalog_wide.quality, "column_profile", stop)
+    with pytest.raises(Planned):
+        catalog_wide.modelling_panel(spark, "/root/testdata/sf0.001")
+    assert sorted(calls) == ["market", "weekly"]

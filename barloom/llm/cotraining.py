@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import ship
+from barloom.llm.common import give_back, ship
 from barloom.session import materialize
 
 SIZE = 1 << 16
@@ -251,5 +251,6 @@ def quality(spark, model: Classifier, docs: DataFrame, text_col: str = "text", m
             b = pd.DataFrame(dict(zip(("text", "source", "lang", "n_chars"), columns, strict=True)))
             _, _, t, m = _raw(b, held.value.text, held.value.meta, trigrams)
             yield pd.DataFrame(dict(zip(("score", "text_score", "page_score"), held.value.scores(t, m), strict=True)))
+        give_back()
 
     return run(F.col(text_col).cast("string"), *inputs)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import ship
+from barloom.llm.common import give_back, ship
 
 SIZES = (1, 2, 3)
 TOP = 300
@@ -145,6 +145,7 @@ def identify(spark: SparkSession, profiles: Profiles, text: Column) -> Column:
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame([held.value.judge(t) for t in b], columns=["lang", "score"])
+        give_back()
 
     return judge(text)
 

@@ -19,8 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import pair, ship, spread
-from barloom.llm.word_bpe import default_path, flat_words, words
+from barloom.llm.common import give_back, pair, ship, spread
+from barloom.llm.word_bpe import REMEMBERED, default_path, flat_words, words
 from barloom.session import materialize
 
 CAPACITY = 4096
@@ -57,10 +57,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
 STEP_BYTES = 1 << 20
 
 
-def spans(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None) -> DataFrame:
+def spans(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the ``pieces`` with the checksum of their identifiers instead of these.
 
-    Identifiers stay on the worker; only numbers leave it. Texts are encoded about a megabyte at a time.
+    Identifiers stay on the worker; only numbers leave it. Texts are encoded about a megabyte at a time,
+    and a worker remembers up to ``remembered`` of their parts.
     """
     path = path or default_path()
     ship()
@@ -72,7 +73,7 @@ def spans(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str |
             step = np.cumsum([len(t) for t in texts]) // STEP_BYTES
             edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(texts)]
             for at, to in zip(edges, edges[1:]):
-                ids, ends = flat_words(path).flat(texts[at:to])
+                ids, ends = flat_words(path, remembered).flat(texts[at:to])
                 rows = []
                 first = 0
                 for doc, last in zip(docs_of[at:to], ends.tolist(), strict=True):
@@ -87,6 +88,7 @@ def spans(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str |
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
+        give_back()
 
     return pair(docs).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -245,6 +247,6 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = 200_000) ->
     return done.select(*items.columns, F.col("_to.sequence_id").alias("sequence_id"), F.col("_to.offset").alias("offset"))
 
 
-def packed_spans(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None) -> DataFrame:
+def packed_spans(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all documents."""
-    return pack(materialize(spans(docs, capacity, end, path), "pieces"), capacity)
+    return pack(materialize(spans(docs, capacity, end, path, remembered), "pieces"), capacity)

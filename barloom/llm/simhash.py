@@ -47,9 +47,8 @@ def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> np.ndarr
     )
 
 
-def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """Unsigned fingerprint of the lower-cased word shingles; no words give 0, fewer than ``width`` one shingle."""
-    hashes = shingle_hashes(text, width, seed)
+def voted(hashes: np.ndarray) -> int:
+    """Unsigned fingerprint of shingles' hashes; none give 0."""
     if not len(hashes):
         return 0
     votes = np.zeros(64, np.int64)
@@ -59,6 +58,11 @@ def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """Unsigned fingerprint of the lower-cased word shingles; no words give 0, fewer than ``width`` one shingle."""
+    return voted(shingle_hashes(text, width, seed))
+
+
 def fingerprint(text: Column, width: int = 3, seed: int = 42) -> Column:
     """Fingerprint of whole texts as a signed long."""
     ship()

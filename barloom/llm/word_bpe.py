@@ -216,5 +216,5 @@ class FlatWords(Words):
 
 
 @lru_cache(maxsize=2)
-def flat_words(path: str) -> FlatWords:
-    return FlatWords(path)
+def flat_words(path: str, remembered: int = REMEMBERED) -> FlatWords:
+    return FlatWords(path, remembered)

@@ -167,3 +167,18 @@ def test_pipeline_near_copies(spark, odd, none):
     kept = {i for i, low in want if i == low}
     assert {r["doc_id"] for r in corpus_pipeline.drop_near(spark, docs, "").collect()} == kept
     assert jaccard.near_duplicates(none).count() == 0
+
+
+def test_fingerprints_bring_the_first_pairs(spark, monkeypatch):
+    """Near copies are joined by SimHash before any minima are looked at, and pairs too far apart never."""
+    rng = np.random.default_rng(31)
+    rows = []
+    for k in range(6):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 1500)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join([*words[:-1], "other"])), (10 * k + 2, " ".join(words[:800] + [f"v{x}" for x in rng.integers(0, 5000, 700)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {i: i - i % 10 if i % 10 == 1 else i for i, _ in rows}
+    monkeypatch.setattr(jaccard, "_lists", lambda entries: entries.where("false").selectExpr("key", "node", "node as hub"))
+    alone = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+    assert sum(alone[10 * k + 1] == 10 * k for k in range(6)) >= 4 and all(alone[i] == i for i, _ in rows if i % 10 == 2)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from barloom.llm import exact_dedup, jaccard, simhash
 from barloom.llm.common import connected
+from barloom.session import materialize
 from tests.llm import helpers
 
 
@@ -182,3 +183,28 @@ def test_fingerprints_bring_the_first_pairs(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_lists", lambda entries: entries.where("false").selectExpr("key", "node", "node as hub"))
     alone = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
     assert sum(alone[10 * k + 1] == 10 * k for k in range(6)) >= 4 and all(alone[i] == i for i, _ in rows if i % 10 == 2)
+
+
+def test_many_texts_almost_alike_make_no_rows_of_pairs(spark, monkeypatch):
+    """Texts that all share bands at similarities around 0.7 cost their members, and links among them are found."""
+    rng, rows = random.Random(9), []
+    base = [f"w{k}" for k in range(150)]
+    for k in range(150):
+        copy, at = list(base), rng.randrange(140)
+        copy[at : at + 10] = [f"new{k}x{x}" for x in range(10)]
+        rows.append((k, " ".join(copy)))
+    rows += [(1000 + k, " ".join([*rows[k][1].split()[:-6], *(f"end{k}x{x}" for x in range(6))])) for k in range(0, 150, 7)]
+    docs, made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), []
+
+    def counted(df, label):
+        out = materialize(df, label)
+        made.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    # Without best partners all is left to the last step.
+    monkeypatch.setattr(jaccard, "BEST_ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    got = Counter((r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect())
+    assert got == alike(rows)
+    assert max(n for label, n in made if label in ("pairs", "links")) <= jaccard.BANDS * len(rows)

@@ -196,6 +196,76 @@ def test_model_is_a_distribution():
     assert len(context) == 5 and abs((10**logs).sum() - 1) < 1e-9
 
 
+def test_tables_of_many_customers_are_drawn_from_their_distribution():
+    """All customers of large dishes move: quantiles equal those of the exact distribution, by the recursion over customers."""
+    for d, customers, weight, more in ((0.75, 700, 0.8, 0.0), (0.5, 900, 20.0, 0.05), (0.75, 600, 1e6, 0.1)):
+        ways = np.full(customers + 1, -np.inf)
+        ways[1] = 0
+        t = np.arange(1, customers + 1)
+        for c in range(1, customers):
+            ways = np.concatenate(([-np.inf], np.logaddexp(ways[:-1], ways[1:] + np.log(np.maximum(c - d * t, 1e-300)))))
+        assert np.abs(pitman_yor.log_ways(customers, t, d) - ways[1:]).max() < 1e-3
+        odds = ways[1:] + np.cumsum(np.log(weight + more * (t - 1)))
+        odds = np.cumsum(np.exp(odds - odds.max()))
+        u = np.linspace(0.0005, 0.9995, 300)
+        same = [np.full(300, x) for x in (customers, weight, more)]
+        got = pitman_yor.draw_tables(*same, d, u)
+        assert np.abs(got - 1 - np.searchsorted(odds, u * odds[-1])).max() <= 1
+    huge = pitman_yor.draw_tables(np.full(50, 3_000_000), np.full(50, 900.0), np.full(50, 0.01), 0.75, np.linspace(0.01, 0.99, 50))
+    assert (np.diff(huge) >= 0).all() and 1 < huge[0] < huge[-1] < 3_000_000
+
+
+def test_every_word_has_a_restaurant_of_its_own(spark):
+    """Where every pair occurs once only the parent's tables are drawn, by the words, so a dictionary of any size scores alike."""
+    rng = np.random.default_rng(83)
+    left, walk = {(i, j) for i in range(30) for j in range(30)}, [0]
+    while after := sorted(j for i, j in left if i == walk[-1]):
+        walk.append(int(rng.choice(after)))
+        left.remove((walk[-2], walk[-1]))
+    asked = [" ".join(f"x{k}ed" for k in rng.integers(0, 33, 12)) for _ in range(40)]
+    rows = [(0, " ".join(f"x{k}ed" for k in walk))] + [(1000 + i, t) for i, t in enumerate(asked)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, got = ({r["doc_id"]: r["score"] for r in pitman_yor.score(docs, F.col("doc_id") >= 1000, dictionary=n, burn=0, kept=2).collect()} for n in (60_000, 0))
+    assert len(walk) > 500 and set(want) == set(got) and all(math.isclose(want[i], got[i], rel_tol=1e-9) for i in want)
+
+
+def test_totals_of_rare_restaurants(spark):
+    """Customers and tables of every restaurant are those of its pairs, wherever these are seated."""
+    rng = np.random.default_rng(84)
+    rows = [(i, " ".join(f"v{k}" for k in rng.geometric(0.04, 60))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    count = Counter()
+    for _, text in rows:
+        w = text.split()
+        count.update(zip(w, [*w[1:], None], strict=True))
+    words = pitman_yor.learn_words(docs, 20)
+    model, types, rooms, samples, _ = pitman_yor.fit(docs, words, burn=1, kept=2)
+    tables = types.join(rooms, "bucket", "left")
+    for s, (seating, answers) in enumerate(samples):
+        tables = tables.join(seating.select("bucket", F.col("seated").alias(f"s{s}")), "bucket")
+        tables = tables.join(answers.select("bucket", F.col("answer").alias(f"a{s}")), "bucket", "left")
+    rare, total, listed = {}, Counter(), [Counter(), Counter()]
+    for r in tables.collect():
+        t = pitman_yor.Types(r["types"])
+        kept = [t.tables(pitman_yor._each(r[f"s{s}"])) for s in range(2)]
+        home = pitman_yor.Home.of(t, pitman_yor.Rooms(r["rooms"]), kept, [pitman_yor._answer(r[f"a{s}"]) for s in range(2)])
+        rare |= {w: (n, a, b) for w, n, a, b in zip(home.words.tolist(), home.customers, *home.tables, strict=True)}
+        names = np.concatenate((np.arange(pitman_yor.CONTEXTS, dtype=np.uint64), t.rare))[t.context].tolist()
+        for w, n, a, b in zip(names, t.customers, *kept, strict=True):
+            total[w] += n
+            listed[0][w] += a
+            listed[1][w] += b
+    far = [w for w in total if w >= pitman_yor.FIRST]
+    assert far and {w: rare[w] for w in far} == {w: (total[w], listed[0][w], listed[1][w]) for w in far}
+    by_word = Counter()
+    for (v, _), n in count.items():
+        by_word[int(pitman_yor.hashes(v.encode())[1][0])] += n
+    known = set(words.words.tolist())
+    assert {w: n for w, n in by_word.items() if w not in known} == {w: total[w] for w in far}
+    near = [w for w in total if w < pitman_yor.FIRST]
+    assert all(model.customers[int(w)] == total[w] and model.tables[0][int(w)] == listed[0][w] for w in near)
+
+
 def test_gibbs_matches_exact_posterior():
     """Tables of one dish with three customers: visits equal the exact posterior over partitions."""
     d, weight = 0.5, 0.8

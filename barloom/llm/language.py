@@ -16,11 +16,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.ranking import order_stats
 from barloom.llm.common import give_back, ship
+from barloom.session import materialize
 
 SIZES = (1, 2, 3)
 TOP = 300
 UNKNOWN = "und"
+# Characters whose n-grams are counted at once.
+STEP = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,12 +101,12 @@ def learn(
     key_col: str = "doc_id",
     sizes: tuple[int, ...] = SIZES,
     top: int = TOP,
-    per_language: int = 4000,
+    per_language: int | None = 4000,
 ) -> Profiles:
     """Profiles of the labelled rows.
 
     Of each language about ``per_language`` rows (the fit's documented bound) are read, chosen by a
-    hash of the identifier; n-grams are counted on the workers and only ``top`` keys per language
+    hash of the identifier, or all without such a number; n-grams are counted on the workers and only ``top`` keys per language
     come back. Rows without text or language teach nothing; an empty table gives no profiles.
     """
     ship()
@@ -114,15 +118,29 @@ def learn(
         raise ValueError(f"{len(sizes_of)} languages; at most 1000 profiles are kept")
     if not sizes_of:
         return Profiles({}, sizes, top)
-    share = F.create_map(*[F.lit(x) for k, n in sizes_of.items() for x in (k, min(1.0, per_language / n))])
-    chosen = rows.where(F.pmod(F.xxhash64("key", F.lit("profile")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    chosen = rows
+    if per_language is not None:
+        share = F.create_map(*[F.lit(x) for k, n in sizes_of.items() for x in (k, min(1.0, per_language / n))])
+        chosen = rows.where(F.pmod(F.xxhash64("key", F.lit("profile")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             for lang, part in b.groupby("lang"):
-                found = np.concatenate([grams(t, sizes) for t in part["text"]] or [np.empty(0, np.uint64)])
-                keys, n = np.unique(found.view(np.int64), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "gram": keys, "n": n})
+                cut = np.cumsum(part["text"].str.len().to_numpy(np.int64)) // STEP
+                found = [held.pop(lang)] if lang in held else []
+                for _, texts in part["text"].groupby(cut, sort=False):
+                    found.append(np.unique(np.concatenate([grams(t, sizes) for t in texts]).view(np.int64), return_counts=True))
+                keys, n = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.argsort(keys, kind="stable")
+                keys, n = keys[order], n[order]
+                starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+                held[lang] = keys[starts], np.add.reduceat(n, starts) if len(starts) else n
+            if sum(len(k) for k, _ in held.values()) > 1_000_000:
+                yield from (pd.DataFrame({"lang": k, "gram": g, "n": n}) for k, (g, n) in held.items())
+                held = {}
+        yield from (pd.DataFrame({"lang": k, "gram": g, "n": n}) for k, (g, n) in held.items())
+        give_back()
 
     counted = chosen.select("lang", "text").mapInPandas(count, "lang string, gram long, n long")
     counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("part", F.pmod("gram", F.lit(64)))
@@ -157,21 +175,23 @@ def cutoffs(
     lang_col: str = "lang",
     text_col: str = "text",
     key_col: str = "doc_id",
-    per_language: int = 4000,
+    per_language: int | None = None,
 ) -> dict[str, float]:
     """By language, half the score that 95 % of labelled rows found to be in it reach.
 
-    ``docs`` are rows the profiles have not seen; about ``per_language`` of each label are judged,
-    chosen by a hash of the identifier. Half of it leaves room for clean texts shorter or odder
-    than the sample. A language without such rows has no cutoff.
+    ``docs`` are rows the profiles have not seen; all labelled ones are judged, or about ``per_language``
+    of each label, chosen by a hash of the identifier. Half of it leaves room for clean texts shorter or
+    odder than these. A language without such rows has no cutoff.
     """
     rows = docs.select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(key_col).alias("key")
     ).where("lang is not null and text is not null")
-    sizes_of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes_of:
-        return {}
-    share = F.create_map(*[F.lit(x) for k, n in sizes_of.items() for x in (k, min(1.0, per_language / n))])
-    chosen = rows.where(F.pmod(F.xxhash64("key", F.lit("cutoff")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    judged = chosen.select("lang", identify(spark, profiles, F.col("text")).alias("j")).where("lang = j.lang")
-    return {r["lang"]: r["q"] / 2 for r in judged.groupBy("lang").agg(F.percentile_approx("j.score", 0.05, 10_000).alias("q")).collect()}
+    if per_language is not None:
+        sizes_of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        if not sizes_of:
+            return {}
+        share = F.create_map(*[F.lit(x) for k, n in sizes_of.items() for x in (k, min(1.0, per_language / n))])
+        rows = rows.where(F.pmod(F.xxhash64("key", F.lit("cutoff")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    judged = rows.select("lang", identify(spark, profiles, F.col("text")).alias("j")).where("lang = j.lang")
+    scores = materialize(judged.select("lang", F.col("j.score").alias("score")), "scores")
+    return {r["lang"]: r["q"] / 2 for r in order_stats(scores, ["lang"], "score", {"q": F.ceil(F.col("total") * 0.05)}).collect()}

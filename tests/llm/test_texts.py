@@ -1,5 +1,6 @@
 import hashlib
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -48,6 +49,26 @@ def test_pipeline_drops_texts_of_no_known_language(spark):
     assert {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {r[0] for r in rows}
 
 
+def test_pipeline_learns_languages_from_all_rows(spark, monkeypatch):
+    """Profiles and cutoffs of more rows than a sample would take equal plain counts and the plain order statistic."""
+    rng = np.random.default_rng(13)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words, 4)), "x") for i in range(18_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    for name in ("learn", "cutoffs"):
+        monkeypatch.setattr(language, name, lambda *a, f=getattr(language, name), k=name, **b: seen.setdefault(k, f(*a, **b)))
+    corpus_pipeline.identify_language(spark, docs, "")
+    unseen = [zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows]
+    c = Counter(k for (_, t, _), u in zip(rows, unseen, strict=True) if not u for k in language.grams(t).view(np.int64).tolist())
+    want = [k for k, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: language.TOP]]
+    found = seen["learn"]
+    assert np.array_equal(np.sort(found.keys), np.sort(want))
+    assert [int(found.ranks[np.searchsorted(found.keys, k), 0]) for k in want] == list(range(len(want)))
+    scores = sorted(found.judge(t)[1] for (_, t, _), u in zip(rows, unseen, strict=True) if u)
+    assert len(scores) > 4200 and seen["cutoffs"] == {"x": scores[math.ceil(len(scores) * 0.05) - 1] / 2}
+
+
 def test_profile_distance_by_hand():
     own = language.ranked("aab", (1,), 5).tolist()
     assert len(own) == 2 and own[0] == language.ranked("a", (1,), 5)[0]
